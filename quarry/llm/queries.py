@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import phrases
+from . import phrases, suffix_repeats
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -19,6 +19,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_repeats.remove_repeats(c.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -31,7 +36,7 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
      gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM win JOIN rep USING (s), unnest(range(0, 35)) AS u(k)),
      marked AS (SELECT d.doc_id, list(pos) AS g FROM d JOIN gone USING (doc_id) GROUP BY d.doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
-       sha256(coalesce(list_aggregate(list_filter(w, (x, i) -> g IS NULL OR NOT list_contains(g, i)), 'string_agg', ' '), '')) AS kept_sha256
+       sha256(coalesce(list_aggregate(list_filter(w, lambda x, i: g IS NULL OR NOT list_contains(g, i)), 'string_agg', ' '), '')) AS kept_sha256
 FROM d LEFT JOIN marked USING (doc_id)
 """
 
