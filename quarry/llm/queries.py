@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import embeddings, phrases, simhash, suffix_repeats
+from . import embeddings, html_text, phrases, simhash, suffix_repeats, toxicity
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = c.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, c.table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = phrases.remove_repeats(docs)
