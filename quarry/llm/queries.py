@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import embeddings, html_text, phrases, simhash, suffix_repeats, toxicity
+from . import embeddings, html_text, orc_tokens, phrases, sentencepiece_bridge, simhash, suffix_repeats, toxicity
 
-WORDS = r"[^\x20\x09-\x0D]+"
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +43,16 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(c.table(spark, sf_dir, "embeddings"))
 
 
+def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{c.shared_folder(spark)}/tokens"
+    orc_tokens.write_tokens(c.table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), path)
+    return orc_tokens.digests(orc_tokens.read_tokens(spark, path))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bridge.digests(c.table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_repeats.remove_repeats(c.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
