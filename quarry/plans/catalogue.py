@@ -5,16 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import registry
+
+
+def _load() -> None:
+    from . import q_aggregates, q_ctes, q_functions, q_joins, q_limits, q_predicates, q_routines, q_sets, q_sources, q_statements, q_windows  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("row_count"))
+    """Slices of an OLAP view of lineitem."""
+    return queries()["AGG6_show_slices"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.SQL)
