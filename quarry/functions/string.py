@@ -53,7 +53,7 @@ def find_in_set(x: object, items: object) -> Column:
 def format(x: object, decimals: object, locale: object = None) -> Column:
     """Groups thousands, 0 to 30 decimals; de, es, fr and it swap comma and point."""
     d = F.least(F.greatest(arg(decimals).cast("int"), F.lit(0)), F.lit(30))
-    out = F.format_number(arg(x).cast("double"), d)
+    out = F.call_function("format_number", arg(x).cast("double"), d)
     if locale is None:
         return out
     return F.when(F.lower(F.substring(arg(locale), 1, 2)).isin("de", "es", "fr", "it"), F.translate(out, ",.", ".,")).otherwise(out)

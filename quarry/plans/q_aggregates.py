@@ -81,7 +81,7 @@ def coordinate_order(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.orderBy(F.asc_nulls_first("c"), F.asc_nulls_first("s"))  # a row for each cell
-    return cells.select("c", "s", F.row_number().over(w).alias("place"))
+    return cells.select("c", "s", F.row_number().over(w).cast("long").alias("place"))
 
 
 def cube(t: Tables) -> Hypercube:

@@ -51,7 +51,7 @@ def cluster_by(t: Tables) -> DataFrame:
     return m.limit(m.order(t.customer, C("c_nationkey"), C("c_custkey")), 40).select("c_custkey")
 
 
-@query("SRT8_limit_alone", "SELECT 7 AS n, 0 AS zero")
+@query("SRT8_limit_alone", "SELECT CAST(7 AS BIGINT) AS n, CAST(0 AS BIGINT) AS zero")
 def limit_alone(t: Tables) -> DataFrame:
     first = m.limit(t.orders.select("o_orderkey"), 7).agg(F.count("*").alias("n"))
     return first.join(F.broadcast(m.limit(t.orders, 0).agg(F.count("*").alias("zero"))))

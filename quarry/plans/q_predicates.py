@@ -83,4 +83,4 @@ def qualify_(t: Tables) -> DataFrame:
     from ..operators.windows import Spec
 
     w = Spec(("o_custkey",), (F.desc("o_totalprice"), C("o_orderkey"))).ranking()
-    return qualify(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), {"n": F.row_number().over(w)}, C("n") <= 2).drop("o_totalprice")
+    return qualify(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), {"n": F.row_number().over(w).cast("long")}, C("n") <= 2).drop("o_totalprice")

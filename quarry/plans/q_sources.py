@@ -142,7 +142,7 @@ def case(t: Tables) -> DataFrame:
 def window_item(t: Tables) -> DataFrame:
     from ..operators.windows import Spec
 
-    return t.orders.select("o_orderkey", F.row_number().over(Spec(("o_custkey",), (F.col("o_orderkey"),)).ranking()).alias("n"))
+    return t.orders.select("o_orderkey", F.row_number().over(Spec(("o_custkey",), (F.col("o_orderkey"),)).ranking()).cast("long").alias("n"))
 
 
 @query("PRJ6_hidden_sort_key", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")

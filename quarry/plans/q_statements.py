@@ -61,7 +61,7 @@ _final("DML7_update_from", "UPDATE accounts SET tier = 'buyer' FROM orders o WHE
 _final("DML8_delete", "DELETE FROM accounts WHERE balance < 0; DELETE FROM accounts USING orders o WHERE accounts.id = o.o_custkey AND o.o_orderstatus = 'P'", f"SELECT * FROM {BASE} WHERE balance >= 0 AND id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 _final("DML9_ordered_limit", "UPDATE accounts SET tier = 'top' ORDER BY ROUND(balance) DESC, id LIMIT 5; DELETE FROM accounts WHERE tier = 'basic' ORDER BY id LIMIT 10", f"SELECT id, name, balance, tier FROM (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY tier ORDER BY id) AS n FROM (SELECT id, name, balance, r, CASE WHEN r <= 5 THEN 'top' ELSE tier END AS tier FROM (SELECT *, row_number() OVER (ORDER BY round(balance) DESC, id) AS r FROM {BASE}))) WHERE tier = 'top' OR n > 10")
 _returned("DML10_returning", "UPDATE accounts SET balance = 0 WHERE id <= 5 RETURNING id, balance, upper(name) AS name", f"SELECT id, CAST(0 AS DOUBLE) AS balance, upper(name) AS name FROM {BASE} WHERE id <= 5")
-_final("DML12_truncate", "TRUNCATE TABLE accounts; INSERT INTO accounts (id) VALUES (1)", "SELECT 1 AS id, CAST(NULL AS VARCHAR) AS name, CAST(0 AS DOUBLE) AS balance, 'basic' AS tier")
+_final("DML12_truncate", "TRUNCATE TABLE accounts; INSERT INTO accounts (id) VALUES (1)", "SELECT CAST(1 AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS name, CAST(0 AS DOUBLE) AS balance, 'basic' AS tier")
 
 
 @query("DML11_unique", "SELECT * FROM (VALUES ('duplicate key (id) in accounts'), ('duplicate key (uni_id, form) in places'), ('id can''t be null'), ('name is over 40 characters')) v(message)")

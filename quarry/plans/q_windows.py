@@ -30,12 +30,12 @@ def _event(name: str, build: Callable[[], Column], sql: str, digits: int | None
 TIES = "PARTITION BY event_type ORDER BY floor(value)"
 TIED = w.Spec(("event_type",), (F.floor("value"),)).ranking()
 
-_event("WIN1_row_number", lambda: F.row_number().over(RANK), f"row_number() OVER ({ORDER})")
-_event("WIN2_rank", lambda: F.rank().over(TIED), f"rank() OVER ({TIES})")
-_event("WIN3_dense_rank", lambda: F.dense_rank().over(TIED), f"dense_rank() OVER ({TIES})")
+_event("WIN1_row_number", lambda: F.row_number().over(RANK).cast("long"), f"row_number() OVER ({ORDER})")
+_event("WIN2_rank", lambda: F.rank().over(TIED).cast("long"), f"rank() OVER ({TIES})")
+_event("WIN3_dense_rank", lambda: F.dense_rank().over(TIED).cast("long"), f"dense_rank() OVER ({TIES})")
 _event("WIN4_percent_rank", lambda: F.percent_rank().over(TIED), f"percent_rank() OVER ({TIES})", 8)
 _event("WIN5_cume_dist", lambda: F.cume_dist().over(TIED), f"cume_dist() OVER ({TIES})", 8)
-_event("WIN6_ntile", lambda: F.ntile(4).over(RANK), f"ntile(4) OVER ({ORDER})")
+_event("WIN6_ntile", lambda: F.ntile(4).over(RANK).cast("long"), f"ntile(4) OVER ({ORDER})")
 _event("WIN7_lag", lambda: F.lag("event_id", 2, -1).over(RANK), f"lag(event_id, 2, -1) OVER ({ORDER})")
 _event("WIN8_lead", lambda: F.lead("value").over(RANK), f"lead(value) OVER ({ORDER})")
 _event("WIN9_sum", lambda: F.sum("event_id").over(RUNNING), f"CAST(sum(event_id) OVER ({ORDER} {R}) AS BIGINT)")
@@ -55,18 +55,18 @@ def groups_frame(t: Tables) -> DataFrame:
     return w.groups(t.orders, "v", F.count, F.lit(1), ["o_orderstatus"], [C("o_orderpriority")], -1).select("o_orderkey", "v")
 
 
-@query("WIN20_named_window", f"SELECT event_id, row_number() OVER ({ORDER}) AS a, sum(event_id) OVER ({ORDER} {R}) AS b, count(*) OVER (PARTITION BY user_id) AS c FROM events")
+@query("WIN20_named_window", f"SELECT event_id, row_number() OVER ({ORDER}) AS a, CAST(sum(event_id) OVER ({ORDER} {R}) AS BIGINT) AS b, count(*) OVER (PARTITION BY user_id) AS c FROM events")
 def named_window(t: Tables) -> DataFrame:
     n = w.Named()
     n.define("base", partition=PART)
     n.define("ordered", "base", order=(C("ts"),))
     n.define("running", "ordered", frame=w.rows(w.FIRST))
     s = n.specs
-    return t.events.select("event_id", F.row_number().over(s["ordered"].ranking()).alias("a"), F.sum("event_id").over(s["running"].over()).alias("b"), F.count("*").over(s["base"].over()).alias("c"))
+    return t.events.select("event_id", F.row_number().over(s["ordered"].ranking()).cast("long").alias("a"), F.sum("event_id").over(s["running"].over()).alias("b"), F.count("*").over(s["base"].over()).alias("c"))
 
 
 @query("WIN21_ordinal_keys", "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events")
 def ordinal_keys(t: Tables) -> DataFrame:
     out = t.events.select("event_id", "event_type")
     key, part = out.columns[0], out.columns[1]
-    return out.withColumn("n", F.row_number().over(w.Spec((part,), (F.desc(key),)).ranking()))
+    return out.withColumn("n", F.row_number().over(w.Spec((part,), (F.desc(key),)).ranking()).cast("long"))
