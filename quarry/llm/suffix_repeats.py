@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -163,6 +164,7 @@ def _covered(segments: list[bytes], docs: np.ndarray, least: int) -> list[list[t
 def _resolve(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, segments, docs, sizes, owners, text = [], [], [], [], [], []
+        unsqueeze = zstandard.ZstdDecompressor()
         for b in batches:
             cols = {n: b.column(n).to_pylist() for n in b.schema.names}
             for i in range(b.num_rows):
@@ -175,7 +177,7 @@ def _resolve(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         if not keys:
             return
         key, seg, doc, size, owner = (np.concatenate(x) for x in (keys, segments, docs, sizes, owners))
-        data = b"".join(text)
+        data = b"".join(unsqueeze.decompress(x) for x in text if x)
         start = np.cumsum(size.astype(np.int64)) - size
         order = np.lexsort((doc, seg, key))
         new = np.ones(len(order), bool)
@@ -231,7 +233,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, hot_
     columns of docs are not read.
     """
     c.small_batches(docs.sparkSession)
-    n = c.width(docs)
+    n = c.width(docs, 4)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     dealt, block = c.in_blocks(docs, n)
     like = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
@@ -273,6 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, hot_
                 hot_keys.append(c.grams(x, window)[w])
                 hot_docs.append(doc[p.row[w]])
         rows: dict[str, list] = {x: [] for x in SENT.names}
+        squeeze = zstandard.ZstdCompressor(level=3)
         if keys:
             which = left.column(block)[0].as_py()
             k, s, o, piece, place = (np.concatenate(v) for v in (keys, segs, owners, at_piece, places))
@@ -282,7 +285,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, hot_
                 for b, lo, hi in cuts:
                     e = one[order[lo:hi]]
                     size = (place[e, 1] - place[e, 0]).astype(np.int32)
-                    _row(rows, b, which, k[e], s[e], low[order[lo:hi]], size, b"".join(kept[piece[i]][place[i, 0] : place[i, 1]].tobytes() for i in e))
+                    _row(rows, b, which, k[e], s[e], low[order[lo:hi]], size, squeeze.compress(b"".join(kept[piece[i]][place[i, 0] : place[i, 1]].tobytes() for i in e)))
             if hot_keys:
                 hk, hd = np.concatenate(hot_keys), np.concatenate(hot_docs)
                 one, low = _least(hk, hd)
