@@ -83,5 +83,16 @@ FROM d LEFT JOIN marked USING (doc_id)
 """
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0),
+     good AS (SELECT * FROM v WHERE NOT list_contains(list_transform(e, lambda x: x IS NULL OR NOT isfinite(x)), true) AND list_contains(list_transform(e, lambda x: x <> 0), true)),
+     link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+     reach(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT link.a, reach.c FROM reach JOIN link ON reach.vec_id = link.b),
+     comp AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id),
+     n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op7_embedding_dedup": OP7_SQL}

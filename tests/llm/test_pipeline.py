@@ -18,11 +18,11 @@ def test_registered():
     assert set(queries.oracle_sql()) <= set(names)
 
 
-def test_substring_dedup_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
     from tests import compare
 
-    sql = queries.oracle_sql()["op5_substring_dedup"]
-    assert compare.difference(spark, compare.connection(FOLDER), FOLDER, queries.op5_substring_dedup, sql) is None
+    assert compare.difference(spark, compare.connection(FOLDER), FOLDER, queries.queries()[name], queries.oracle_sql()[name]) is None
 
 
 @pytest.mark.parametrize("empty", [False, True])
