@@ -9,6 +9,9 @@ statistics and Bloom filters.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 #: Bytes of words and ids that a task keeps encoded.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 48 << 20
 OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -34,35 +37,88 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start"
 DDL = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
-class WordEncoder:
-    """Encodes texts by a tokenizer whose pieces never reach over ASCII white space, each different word once."""
+class WordEncoder(dict):
+    """Encodes texts by a tokenizer whose pieces never reach over ASCII white space, each different word once.
+
+    The mapping holds the ids of the words seen, as little-endian unsigned
+    32-bit integers.  Words of letters, perhaps with one mark after them, which
+    the tokenizer takes apart, go to its model at once; all others go through
+    the whole tokenizer.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
-        self.cache: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.simple = _lower_words(definition)
         self.size = 0
 
+    def __missing__(self, word: bytes) -> bytes:
+        ids = np.array(self._ids(word.decode()), "<u4").tobytes()
+        self[word] = ids
+        self.size += len(word) + len(ids) + 200
+        return ids
+
+    def _ids(self, word: str) -> list[int]:
+        if self.simple:
+            core, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+            low = core.lower()
+            if low.isalpha() and "Σ" not in core and (core.isascii() or unicodedata.is_normalized("NFC", core)):
+                return [t.id for t in self.model.tokenize(_visible(low))] + ([t.id for t in self.model.tokenize(mark)] if mark else [])
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
     def encode(self, batch: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [x.split() for x in batch]
-        new = list(set().union(*split) - self.cache.keys())
-        if new:
-            if self.size > CACHE_BYTES:
-                self.cache, self.size = {}, 0
-                new = list(set().union(*split))
-            for s in range(0, len(new), 4096):
-                part = new[s : s + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.cache[w] = ids = np.array(e.ids, "<u4").tobytes()
-                    self.size += len(w) + len(ids) + 100
-        get = self.cache.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        """The ids of each text."""
+        if self.size > CACHE_BYTES:
+            self.clear()
+            self.size = 0
+        get = self.__getitem__
+        return [b"".join(map(get, x.split())) for x in batch]
+
+
+def _lower_words(definition: str) -> bool:
+    """Whether a tokenizer is known to make lower case and to take letters and marks apart, as byte-level BPE with word ends."""
+    d = json.loads(definition)
+    steps = [x["type"] for x in (d.get("normalizer") or {}).get("normalizers", [])]
+    splits = (d.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    kinds = [x["type"] for x in splits]
+    pattern = splits[0].get("pattern", {}).get("Regex") if kinds[:1] == ["Split"] else None
+    return steps == ["NFC", "Replace", "Lowercase"] and kinds == ["Split", "ByteLevel"] and pattern == LETTERS and not splits[1].get("add_prefix_space")
+
+
+#: Fixed value: the pattern by which such a tokenizer splits.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _alphabet() -> dict[int, int]:
+    """Byte-level BPE shows bytes as themselves where they print, the others as characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+
+
+_ALPHABET = _alphabet()
+
+
+def _visible(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
+
+
+#: One encoder a worker process and tokenizer.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(definition: str) -> WordEncoder:
+    key = hashlib.sha256(definition.encode()).hexdigest()
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(definition)
+    return _ENCODERS[key]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], definition: str, end: int) -> Iterator[pa.RecordBatch]:
-    encoder, last = WordEncoder(definition), np.array([end], "<u4").tobytes()
+    encoder, last = _encoder(definition), np.array([end], "<u4").tobytes()
     part, start = TaskContext.get().partitionId(), 0
     for b in batches:
         raw = c.texts(b.column("text"))
@@ -96,7 +152,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(DDL).orc(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each file
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    return files.join(before, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    # a row of two numbers for each file, which is no more than the driver lists when it plans the scan
+    return files.join(F.broadcast(before), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
