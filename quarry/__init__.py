@@ -1,0 +1 @@
+"""A SQL analytics engine on PySpark."""

@@ -1,0 +1 @@
+"""Relational operators as functions over DataFrames."""

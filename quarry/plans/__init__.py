@@ -1,0 +1 @@
+"""The SQL front end and the registered queries."""

@@ -1,0 +1 @@
+"""What tables are read from and written to."""

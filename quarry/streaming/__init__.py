@@ -1,0 +1 @@
+"""Nothing: the engine's query surface has no streams.  Tables of events are queried by window functions."""
