@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as c
 
@@ -24,93 +25,100 @@ SAMPLES = 128
 #: Words whose variates a task keeps, and words of documents that one step works on.
 CACHE_WORDS, STEP = 40_000, 8_192
 
-_SALT = c.mix(np.arange(1, 5 * SAMPLES + 1, dtype=np.uint64) * c.U64(0x9E3779B97F4A7C15)).reshape(5, SAMPLES)
+_SALT = c.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * c.U64(0x9E3779B97F4A7C15))
+
+
+def _gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
+    """Gamma(2, 1) at the middles of n equal parts of its mass, by Newton steps on 1 - (1 + x) exp(-x)."""
+    p = (np.arange(n) + 0.5) / n
+    x = np.maximum(np.sqrt(2 * p), -np.log1p(-p))
+    for _ in range(40):
+        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - p) / (x * np.exp(-x)), 1e-9)
+    return x.astype(np.float32)
+
+
+_GAMMA = _gamma_quantiles()
 
 
 def variates(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word hash: r and log c, of gamma(2, 1) variates, and a uniform beta, for all samples."""
-    u = [((c.mix(words[:, None] ^ s[None, :]) >> c.U64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24) for s in _SALT]
-    return -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
+    """For each word hash and sample: r and log c, of gamma(2, 1) variates, and a uniform beta.
+
+    Of a 64-bit hash, 16 bits choose a quantile for r and 16 beta; c, whose
+    least values decide, comes from two uniform numbers of 32 bits.
+    """
+    h = c.mix(words[:, None] ^ _SALT[None, :])
+    r = _GAMMA[(h & c.U64(0xFFFF)).astype(np.int32)]
+    beta = ((h >> c.U64(16)) & c.U64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
+    a = (h >> c.U64(32)).astype(np.float32) + np.float32(0.5)
+    b = (h * c.U64(0xD6E8FEB86659FD93) >> c.U64(32)).astype(np.float32) + np.float32(0.5)
+    logc = np.log(np.maximum(-np.log(a * np.float32(2.0**-32) * b * np.float32(2.0**-32)), np.float32(1e-7)))
+    return r, logc, beta
+
+
+def _packed(value: np.ndarray, words: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
+    """Values as integers of the same order, with 32 bits below that name the word and its level."""
+    bits = value.view(np.uint32)
+    high = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64) << c.U64(32)
+    name = words[:, None] if level is None else words[:, None] + c.U64(0x9E3779B9) * level.astype(np.int64).astype(np.uint64)
+    return high | c.mix(name + c.U64(1)) >> c.U64(32)
 
 
 class Sampler:
-    """Fingerprints texts; the variates of frequent words are kept."""
+    """Fingerprints texts; the variates of words seen lately are kept."""
 
     def __init__(self) -> None:
         self.hashes = np.empty(0, np.uint64)
-        self.once = np.empty((0, SAMPLES), np.float32)
-        self.r = self.beta = self.logc = self.once
+        self.rows = np.empty(0, np.int64)
+        self.once = np.empty((CACHE_WORDS, SAMPLES), np.uint64)
+        self.used = 0
 
     def _known(self, words: np.ndarray) -> np.ndarray:
-        """The rows of the kept variates of some distinct sorted words."""
+        """Of some distinct sorted words, the rows of what wins if a word is there once."""
         new = words[~c.member(self.hashes, words)]
         if len(new):
-            if len(self.hashes) + len(new) > CACHE_WORDS:
-                self.__init__()
-                new = words
+            if self.used + len(new) > CACHE_WORDS:
+                self.hashes, self.rows, self.used, new = self.hashes[:0], self.rows[:0], 0, words
             r, logc, beta = variates(new)
-            # the winning value of a word that is there once: log c - r (1 - beta), as its level is zero
-            once = logc - r * (1 - beta)
-            h = np.concatenate([self.hashes, new])
+            # a word that is there once has level zero
+            self.once[self.used : self.used + len(new)] = _packed(logc - r * (1 - beta), new)
+            h, rows = np.concatenate([self.hashes, new]), np.concatenate([self.rows, np.arange(self.used, self.used + len(new))])
+            self.used += len(new)
             order = np.argsort(h)
-            self.hashes = h[order]
-            self.r, self.beta, self.logc, self.once = (np.concatenate(v)[order] for v in ((self.r, r), (self.beta, beta), (self.logc, logc), (self.once, once)))
-        return np.searchsorted(self.hashes, words)
+            self.hashes, self.rows = h[order], rows[order]
+        return self.rows[np.searchsorted(self.hashes, words)]
 
     def signatures(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Of bags of (distinct word hashes, counts), 16 bits for each sample; of an empty bag zeros."""
-        out = np.zeros((len(bags), SAMPLES), np.uint16)
-        best = np.full((len(bags), SAMPLES), np.inf, np.float32)
-        at: list[int] = []
+        best = np.full((len(bags), SAMPLES), np.iinfo(np.uint64).max, np.uint64)
+        some: list[int] = []
         size = 0
-        for i, (w, _) in enumerate(bags):
-            if at and size + len(w) > STEP:
-                self._step(bags, at, best, out)
-                at, size = [], 0
-            if len(w):
-                at.append(i)
+        for i, (w, n) in enumerate(bags):
+            if some and size + len(w) > STEP:
+                self._lower(bags, some, best)
+                some, size = [], 0
+            if len(w) > STEP:
+                for s in range(0, len(w), STEP):
+                    self._lower([(w[s : s + STEP], n[s : s + STEP])], [0], best[i : i + 1])
+            elif len(w):
+                some.append(i)
                 size += len(w)
-        if at:
-            self._step(bags, at, best, out)
-        return out
-
-    def _step(self, bags: list[tuple[np.ndarray, np.ndarray]], at: list[int], best: np.ndarray, out: np.ndarray) -> None:
-        if len(at) == 1 and len(bags[at[0]][0]) > STEP:
-            w, n = bags[at[0]]
-            for s in range(0, len(w), STEP):
-                self._part([(w[s : s + STEP], n[s : s + STEP])], at, best, out)
-        else:
-            self._part([bags[i] for i in at], at, best, out)
-
-    def _part(self, bags: list[tuple[np.ndarray, np.ndarray]], at: list[int], best: np.ndarray, out: np.ndarray) -> None:
-        w = np.concatenate([b[0] for b in bags])
-        n = np.concatenate([b[1] for b in bags])
+        if some:
+            self._lower(bags, some, best)
+        found = np.array([len(w) > 0 for w, _ in bags], bool)
+        return np.where(found[:, None], (best >> c.U64(16)) & c.U64(0xFFFF), c.U64(0)).astype(np.uint16)
+
+    def _lower(self, bags: list[tuple[np.ndarray, np.ndarray]], some: list[int], best: np.ndarray) -> None:
+        w = np.concatenate([bags[i][0] for i in some])
+        n = np.concatenate([bags[i][1] for i in some])
         distinct, which = np.unique(w, return_inverse=True)
-        row = self._known(distinct)[which]
-        value = self.once[row]
-        level = np.zeros(value.shape, np.uint16)
+        value = self.once[self._known(distinct)[which]]
         more = np.flatnonzero(n > 1)
         if len(more):
-            r, beta = self.r[row[more]], self.beta[row[more]]
-            t = np.floor(np.log(n[more]).astype(np.float32)[:, None] / r + beta)
-            value[more] = self.logc[row[more]] - r * (t - beta + 1)
-            level[more] = t.astype(np.int64).astype(np.uint16)
-        size = [len(b[0]) for b in bags]
-        first = np.cumsum([0, *size[:-1]])
-        low = np.minimum.reduceat(value, first, axis=0)
-        # of equal values, the first in the order of word hashes wins
-        hit = value == np.repeat(low, size, axis=0)
-        rows, cols = np.nonzero(hit)
-        doc = np.repeat(np.arange(len(bags)), size)[rows]
-        key = doc * SAMPLES + cols
-        order = np.lexsort((w[rows], key))
-        lead = order[np.flatnonzero(np.append(True, np.diff(key[order]) > 0))]
-        mark = (c.mix(w[rows[lead]] + c.U64(0x9E3779B9) * level[rows[lead], cols[lead]].astype(np.uint64) + c.U64(1)) >> c.U64(48)).astype(np.uint16)
-        ids = np.array(at)[doc[lead]]
-        better = low[doc[lead], cols[lead]] < best[ids, cols[lead]]
-        ids, col = ids[better], cols[lead][better]
-        out[ids, col] = mark[better]
-        best[ids, col] = low[doc[lead][better], col]
+            r, logc, beta = variates(w[more])
+            level = np.floor(np.log(n[more]).astype(np.float32)[:, None] / r + beta)
+            value[more] = _packed(logc - r * (level - beta + 1), w[more], level)
+        size = [len(bags[i][0]) for i in some]
+        best[some] = np.minimum(best[some], np.minimum.reduceat(value, np.cumsum([0, *size[:-1]]), axis=0))
 
 
 def bags(batch: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -178,8 +186,6 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             found = sampler.signatures(bags(c.texts(b.column("text"))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.astype(">u2").tobytes().hex() for x in found], pa.string())], names=[*b.schema.names, name])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
 
 
