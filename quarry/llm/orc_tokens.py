@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 #: Bytes of words and ids that a task keeps encoded.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 96 << 20
 OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -53,31 +54,45 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
         self.simple = _lower_words(definition)
+        self.cores: dict[str, bytes] = {}
         self.size = 0
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self._ids(word.decode()), "<u4").tobytes()
-        self[word] = ids
+        self[word] = ids = self._ids(word.decode())
         self.size += len(word) + len(ids) + 200
         return ids
 
-    def _ids(self, word: str) -> list[int]:
+    def _ids(self, word: str) -> bytes:
         if self.simple:
             core, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
             low = core.lower()
             if low.isalpha() and "Σ" not in core and (core.isascii() or unicodedata.is_normalized("NFC", core)):
-                return [t.id for t in self.model.tokenize(_visible(low))] + ([t.id for t in self.model.tokenize(mark)] if mark else [])
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+                return self._core(low) + (self._core(mark) if mark else b"")
+        return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _core(self, piece: str) -> bytes:
+        """The ids of one piece; words that differ in case and marks share it."""
+        ids = self.cores.get(piece)
+        if ids is None:
+            self.cores[piece] = ids = _bytes([t.id for t in self.model.tokenize(_visible(piece))])
+            self.size += len(piece) + len(ids) + 200
+        return ids
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         if self.size > CACHE_BYTES:
             self.clear()
+            self.cores.clear()
             self.size = 0
         get = self.__getitem__
         return [b"".join(map(get, x.split())) for x in batch]
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _lower_words(definition: str) -> bool:
     """Whether a tokenizer is known to make lower case and to take letters and marks apart, as byte-level BPE with word ends."""
     d = json.loads(definition)
