@@ -10,6 +10,8 @@ and compared with SentencePiece's own result, which counts where they differ.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
 import struct
 import zlib
@@ -24,7 +26,7 @@ from . import common as c
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 24 << 20
 
 # Fixed values of sentencepiece_model.proto: kinds of pieces, kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -159,7 +161,7 @@ class Encoder:
                 own = [found[i] if u == MARK or (self.model.prefix and u[0] != MARK) else x for i, (u, x) in enumerate(zip(part, own, strict=True))]
             for u, a, b in zip(part, found, own, strict=True):
                 self.cache[u] = (np.array(b, "<u4").tobytes(), len(b), a == b)
-                self.size += len(u) + 4 * len(b) + 200
+                self.size += len(u) + 4 * len(b) + 350
 
     def encode(self, batch: list[str]) -> list[tuple[bytes, bool]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and whether both libraries agree."""
@@ -187,6 +189,19 @@ class Encoder:
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
 
+#: One encoder a worker process and model.
+_ENCODERS: dict[bytes, Encoder] = {}
+
+
+def _encoder(data: bytes) -> Encoder:
+    key = hashlib.sha256(data).digest()
+    if key not in _ENCODERS:
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the threads of a batch; an executor runs several workers
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(data)
+    return _ENCODERS[key]
+
+
 def encode(docs: DataFrame, model: str | bytes) -> DataFrame:
     """docs with ``ids`` (array of int), ``decoded`` (their text) and ``agrees`` (SentencePiece gives the same ids).
 
@@ -202,7 +217,7 @@ def encode(docs: DataFrame, model: str | bytes) -> DataFrame:
     names = [c.fresh(docs, n) for n in ("ids", "decoded", "agrees")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
@@ -218,14 +233,12 @@ def encode(docs: DataFrame, model: str | bytes) -> DataFrame:
 
 def digests(docs: DataFrame, model: str | bytes) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (unsigned, of little-endian unsigned 32-bit ids), decoded_sha256, round_trip, agrees of encode()."""
-    import hashlib
-
     c.small_batches(docs.sparkSession)
     data = model if isinstance(model, bytes) else open(model, "rb").read()
     shared = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
