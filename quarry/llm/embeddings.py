@@ -1,17 +1,18 @@
 """Embedding near-dedup by sorted projection passes.
 
 1. Equal vectors of a label are one node with a count.
-2. Each pass hashes the nodes by random hyperplanes, orders them by label and
-   the concatenated bits, and compares each with the next ``window`` nodes in
-   double precision.  All passes run as one sort.  A partition hands on a
-   spanning forest of the links it verified, not the links.
+2. Each pass hashes the nodes, less their label's mean, by random hyperplanes,
+   orders them by label and the concatenated bits, and compares each with the
+   next ``window`` nodes in double precision.  All passes of a round run as one
+   sort.  A partition hands on a spanning forest of the links it verified, not
+   the links, and its first and last rows, for the windows over its borders.
+   Rounds of new hyperplanes go on until one joins no more components.
 3. The forests are joined to components.  Within a component, which may be a
    dense cluster wider than any window, all nodes are compared with each other
    in square blocks: a task holds two blocks, and hands on counts and a
    spanning forest.  So links inside a component are found without exception.
 
-Missed are links between components that no pass saw; each pass sees a pair at
-the threshold in a neighbourhood of 2**b nodes with probability 0.936**b.
+Missed are links between components that no pass of any round saw.
 """
 
 from __future__ import annotations
@@ -68,10 +69,31 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(good)], names=[*b.schema.names, "good"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the unit vectors of each label in a batch, and their number."""
     for b in batches:
         x, _ = matrix(b.column("embedding"))
-        for number in range(passes) if b.num_rows else ():
+        labels, which = np.unique(b.column("label").to_numpy(), return_inverse=True)
+        total = np.zeros((len(labels), x.shape[1]))
+        np.add.at(total, which, x)
+        yield pa.RecordBatch.from_pydict({"label": labels, "total": pa.array(total.tolist(), pa.list_(pa.float64())), "n": np.bincount(which, minlength=len(labels))})
+
+
+def _means(nodes: DataFrame) -> DataFrame:
+    """The mean of the unit vectors of each label."""
+    sums = nodes.select("label", "embedding").mapInArrow(_sums, "label long, total array<double>, n long")
+    zero = F.lit(0.0)
+    add = F.aggregate(F.collect_list("total"), F.array().cast("array<double>"), lambda x, y: F.zip_with(x, y, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero)))
+    return sums.groupBy("label").agg(add.alias("total"), F.sum("n").alias("n")).select("label", F.transform("total", lambda x: x / F.col("n")).alias("mean"))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], numbers: range) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x, _ = matrix(b.column("embedding"))
+        mean = [m[: x.shape[1]] for m in b.column("mean").to_pylist()]
+        x = x - np.array([m + [0.0] * (x.shape[1] - len(m)) for m in mean]).reshape(x.shape)
+        b = b.select(["label", "node", "embedding"])
+        for number in numbers if b.num_rows else ():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, number, np.int32)), pa.array(_bits(x, number) if x.shape[1] else np.zeros(b.num_rows, np.int64)), *b.columns], names=["pass", "key", *b.schema.names])
 
 
@@ -84,13 +106,19 @@ def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by pass, label and key."""
-    rest = None
+    """Rows come sorted by pass, label and key; gives links, and the first and last ``window`` rows."""
+    rest, head, tail, seen = None, [], None, 0
     for batch in batches:
         x, _ = matrix(batch.column("embedding"))
         now = [batch.column("pass").to_numpy(), batch.column("label").to_numpy(), batch.column("node").to_numpy(), x]
         if not len(x):
             continue
+        if seen < window:
+            head.append(batch.slice(0, window - seen))
+        late = pa.Table.from_batches([batch.slice(max(0, window - seen))])
+        tail = late if tail is None else pa.concat_tables([tail, late])
+        tail = tail.slice(max(0, tail.num_rows - window))
+        seen += batch.num_rows
         if rest is not None:
             dim = max(rest[3].shape[1], x.shape[1])
             grown = [np.pad(v, ((0, 0), (0, dim - v.shape[1]))) for v in (rest[3], x)]
@@ -104,8 +132,22 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, least: float) -> It
             a.append(node[hit])
             b.append(node[hit + d])
         if a and sum(map(len, a)):
-            yield _forest(np.concatenate(a), np.concatenate(b))
+            f = _forest(np.concatenate(a), np.concatenate(b))
+            yield pa.RecordBatch.from_arrays([*f.columns, *(pa.nulls(f.num_rows, t.type) for t in list(batch.schema))], names=["a", "b", *batch.schema.names])
         rest = [v[-window:] for v in now]
+    for e in [*head, *(tail.to_batches() if tail is not None else [])]:
+        yield pa.RecordBatch.from_arrays([pa.nulls(e.num_rows, pa.int64()), pa.nulls(e.num_rows, pa.int64()), *e.columns], names=["a", "b", *e.schema.names])
+
+
+def _round(nodes: DataFrame, numbers: range, window: int, least: float, n: int) -> DataFrame:
+    """The links that some passes find, windows over the borders of partitions included."""
+    row = "pass int, key long, label long, node long, embedding array<double>"
+    keyed = nodes.select("label", "node", "embedding", "mean").mapInArrow(lambda it: _keyed(it, numbers), row)
+    ordered = keyed.repartitionByRange(n, "pass", "label", "key").sortWithinPartitions("pass", "label", "key")
+    found = c.written(ordered.mapInArrow(lambda it: _windows(it, window, least), f"a long, b long, {row}"), "windows")
+    border = found.where("pass is not null").drop("a", "b").repartition(len(numbers), "pass").sortWithinPartitions("pass", "label", "key")
+    over = border.mapInArrow(lambda it: _windows(it, window, least), f"a long, b long, {row}")
+    return found.where("pass is null").select("a", "b").unionByName(over.where("pass is null").select("a", "b"))
 
 
 def _squares(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -167,9 +209,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, passes: int = PASSE
     nodes = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     nodes = c.written(nodes.withColumn("node", F.xxhash64("label", "embedding")), "nodes")
     n = c.width(nodes)
-    keyed = nodes.select("label", "node", "embedding").mapInArrow(lambda it: _keyed(it, passes), "pass int, key long, label long, node long, embedding array<double>")
-    ordered = keyed.repartitionByRange(n, "pass", "label", "key").sortWithinPartitions("pass", "label", "key")
-    found = components(ordered.mapInArrow(lambda it: _windows(it, window, least), "a long, b long"))
+    centred = c.written(nodes.join(_means(nodes), "label"), "centred")
+    found, joined, start = None, -1, 0
+    while True:
+        new = _round(centred, range(start, start + passes), window, least, n)
+        forest_ = new if found is None else new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found = c.written(components(forest_), "found")
+        now = found.where("node <> component").count()
+        if now <= joined or not now:
+            break
+        joined, start = now, start + passes
     # all pairs in a component, by squares of two blocks
     member = nodes.join(found, "node").select("label", "component", "node", "n", "embedding")
     size = member.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))

@@ -152,6 +152,19 @@ def test_embeddings(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in (1002, 1003, 1004, 1005, 1006, 1007))
 
 
+def test_embeddings_with_a_common_direction(spark):
+    """Isolated pairs among vectors of a mean cosine of 0.8; few and narrow windows."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    first = unit(2 * unit(rng.standard_normal((1, 64))) + unit(rng.standard_normal((1500, 64))))
+    both = unit(np.concatenate([first, first + 0.19 * unit(rng.standard_normal((1500, 64)))]))
+    link = both @ both.T >= 0.98
+    assert link.sum() > 3000 + 2000
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, passes=8, window=8).collect()}
+    assert got == dict(enumerate((link.sum(1) - 1).tolist()))
+
+
 def test_nothing(spark, nothing):
     assert phrases.remove_repeats(nothing).count() == 0
     assert suffix_repeats.remove_repeats(nothing).count() == 0
