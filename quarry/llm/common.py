@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,34 @@ def width(df: DataFrame, factor: int = 2) -> int:
     return max(conf, factor * df.rdd.getNumPartitions())
 
 
+class Recent(dict):
+    """What ``make`` gives for keys seen lately: two generations of at most ``most`` keys each.
+
+    A full generation becomes the old one; a key of the old one that is asked
+    for again moves on, so frequent keys stay however many others pass by.
+    """
+
+    def __init__(self, make: Callable[[Any], Any], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key: Any, value: Any) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def knows(self, key: Any) -> bool:
+        return key in self or key in self.old
+
+
 # -- bytes, words and hashes ------------------------------------------------------------
 
 

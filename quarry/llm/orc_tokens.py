@@ -12,22 +12,23 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
 
-#: Bytes of words and ids that a task keeps encoded.
-CACHE_BYTES = 96 << 20
+#: Words and pieces of words whose ids a worker keeps, in each of two generations.
+WORDS = 400_000
 OPTIONS = {
-    "compression": "zstd",
+    "compression": "snappy",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
@@ -38,54 +39,45 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start"
 DDL = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
-class WordEncoder(dict):
-    """Encodes texts by a tokenizer whose pieces never reach over ASCII white space, each different word once.
+class WordEncoder:
+    """Encodes whole texts by a tokenizer of the tokenizers library.
 
-    The mapping holds the ids of the words seen, as little-endian unsigned
-    32-bit integers.  Words of letters, perhaps with one mark after them, which
-    the tokenizer takes apart, go to its model at once; all others go through
-    the whole tokenizer.
+    The ids of a text are little-endian unsigned 32-bit integers.  Where the
+    tokenizer's own definition shows that no piece reaches over ASCII white
+    space (see ``_pattern``), a text is normalised as a whole, and each
+    different word of it taken apart by the tokenizer's pattern and given to
+    its model once; words and pieces seen lately are kept.  With any other
+    definition, and where a text holds an added token, the whole text goes
+    through the whole tokenizer.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
-        self.simple = _lower_words(definition)
-        self.cores: dict[str, bytes] = {}
-        self.size = 0
-
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = ids = self._ids(word.decode())
-        self.size += len(word) + len(ids) + 200
-        return ids
-
-    def _ids(self, word: str) -> bytes:
-        if self.simple:
-            core, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
-            low = core.lower()
-            if low.isalpha() and "Σ" not in core and (core.isascii() or unicodedata.is_normalized("NFC", core)):
-                return self._core(low) + (self._core(mark) if mark else b"")
-        return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-
-    def _core(self, piece: str) -> bytes:
-        """The ids of one piece; words that differ in case and marks share it."""
-        ids = self.cores.get(piece)
-        if ids is None:
-            self.cores[piece] = ids = _bytes([t.id for t in self.model.tokenize(_visible(piece))])
-            self.size += len(piece) + len(ids) + 200
-        return ids
-
-    def encode(self, batch: list[bytes]) -> list[bytes]:
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pattern = _pattern(definition)
+        self.known = c.Recent(self._ids, WORDS)
+
+    def _ids(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not text.isalpha():
+            found = self.pattern.findall(text)
+            if len(found) != 1:
+                return b"".join([self.known[x.encode()] for x in found])
+        return _bytes([t.id for t in self.model.tokenize(_visible(text))])
+
+    def _words(self, text: str) -> list[bytes]:
+        # lower() is what the normaliser does to composed characters, but for a sigma at the end of a word
+        plain = text.isascii() or "Σ" not in text and is_normalized("NFC", text)
+        return (text.lower() if plain else self.tokenizer.normalizer.normalize_str(text)).encode().split()
+
+    def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if self.size > CACHE_BYTES:
-            self.clear()
-            self.cores.clear()
-            self.size = 0
-        get = self.__getitem__
-        return [b"".join(map(get, x.split())) for x in batch]
+        get = self.known.__getitem__
+        whole = [self.pattern is None or any(x in text for x in self.added) for text in batch]
+        return [_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) if w else b"".join(map(get, self._words(text))) for text, w in zip(batch, whole, strict=True)]
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -93,18 +85,26 @@ def _bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _lower_words(definition: str) -> bool:
-    """Whether a tokenizer is known to make lower case and to take letters and marks apart, as byte-level BPE with word ends."""
+#: Fixed value: the pattern by which a tokenizer of lower-cased words takes letters, digits and marks apart.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _pattern(definition: str) -> regex.Pattern[str] | None:
+    """The pattern that takes a tokenizer's words apart, if it works word by word; else None.
+
+    It does if its normaliser only composes characters, makes white space
+    single and lower-cases, and its pieces are the matches of a pattern that
+    takes no white space, shown byte by byte.
+    """
     d = json.loads(definition)
     steps = [x["type"] for x in (d.get("normalizer") or {}).get("normalizers", [])]
     splits = (d.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    kinds = [x["type"] for x in splits]
-    pattern = splits[0].get("pattern", {}).get("Regex") if kinds[:1] == ["Split"] else None
-    return steps == ["NFC", "Replace", "Lowercase"] and kinds == ["Split", "ByteLevel"] and pattern == LETTERS and not splits[1].get("add_prefix_space")
-
-
-#: Fixed value: the pattern by which such a tokenizer splits.
-LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in splits] != ["Split", "ByteLevel"] or d.get("post_processor"):
+        return None
+    first, second = splits
+    if (first["pattern"], first["behavior"], first["invert"]) != ({"Regex": LETTERS}, "Removed", True) or second["add_prefix_space"] or second["use_regex"]:
+        return None
+    return regex.compile(LETTERS)
 
 
 def _alphabet() -> dict[int, int]:
@@ -116,8 +116,8 @@ def _alphabet() -> dict[int, int]:
 _ALPHABET = _alphabet()
 
 
-def _visible(word: str) -> str:
-    return word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
+def _visible(piece: str) -> str:
+    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_ALPHABET)
 
 
 #: One encoder a worker process and tokenizer.
@@ -136,7 +136,7 @@ def _encode(batches: Iterator[pa.RecordBatch], definition: str, end: int) -> Ite
     encoder, last = _encoder(definition), np.array([end], "<u4").tobytes()
     part, start = TaskContext.get().partitionId(), 0
     for b in batches:
-        raw = c.texts(b.column("text"))
+        raw = [x or "" for x in b.column("text").to_pylist()]
         for s in range(0, len(raw), 256):
             ids = [x + last for x in encoder.encode(raw[s : s + 256])]
             size = np.array([len(x) // 4 for x in ids], np.int64)

@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import fingerprints, html_text, mixing, orc_tokens, sentencepiece_bridge, toxicity
+from quarry.llm import common, fingerprints, html_text, mixing, orc_tokens, queries, sentencepiece_bridge, toxicity
 
 PAGES = {
     "<html><head><title>x</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><a href=/>Home</a></nav><article><h1>T &amp; U</h1><p>One <b>t</b>wo.<br><p>Three\n  four.</article><footer>&copy; me</footer>": "T & U One two. Three four.",
@@ -136,18 +136,59 @@ def test_orc(spark, docs, corpus, nothing, tmp_path):
 @pytest.mark.parametrize("text", ["<|endoftext|>x", "don't I'M", "a.b, c..", "é́.", "ΑΣ.", "İx", "ﬁn", "ʰa", "1st", "漢字。", "...", "x\x85y z"])
 def test_word_encoder(text):
     definition = open(public_tokenizers.path("word_bpe_49k.json")).read()
-    got = np.frombuffer(orc_tokens.WordEncoder(definition).encode([text.encode()])[0], "<u4").tolist()
+    got = np.frombuffer(orc_tokens.WordEncoder(definition).encode([text])[0], "<u4").tolist()
     assert got == Tokenizer.from_str(definition).encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    monkeypatch.setattr(sentencepiece_bridge, "LONG", 20)
+    data = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    text = "  some   words and\u2581markers  é\n " * 30 + "x" * 100
+    encoder, whole = sentencepiece_bridge.Encoder(data), sentencepiece_bridge.Model(data).tokenizer()
+    ids = encoder.encode(["", text, "a"])
+    assert len(encoder._parts(text)) > 20 and [np.frombuffer(x, "<u4").tolist() for x in ids] == [whole.encode(x).ids for x in ("", text, "a")]
+    assert encoder.decode(ids[1]) == whole.decode(whole.encode(text).ids, skip_special_tokens=False)
+
+
+def test_encoder_of_another_tokenizer():
+    """Pieces that may hold white space: the whole tokenizer works."""
+    from tokenizers import models, pre_tokenizers
+
+    other = Tokenizer(models.BPE({"a": 0, " ": 1, "a ": 2, "b": 3}, [("a", " ")]))
+    other.pre_tokenizer = pre_tokenizers.Split("b", "isolated")
+    got = np.frombuffer(orc_tokens.WordEncoder(other.to_str()).encode(["a a ba"])[0], "<u4").tolist()
+    assert got == other.encode("a a ba").ids == [2, 2, 3, 0]
+
+
+def test_recent():
+    made = []
+    kept = common.Recent(lambda x: made.append(x) or x, 3)
+    for x in [0, 1, 0, 2, 0, 3, 0, 4, 5, 0, 6, 7]:
+        assert kept[x] == x and len(kept) <= 3 and len(kept.old) <= 3
+    assert made.count(0) == 1
+
+
 def test_sentencepiece(docs, corpus, nothing):
     path = public_tokenizers.path("piece_bpe_32k.model")
     own = sentencepiece.SentencePieceProcessor(model_file=path)
     out = sentencepiece_bridge.encode(docs, path)
-    assert out.columns[-3:] == ["ids_", "decoded", "agrees"]
-    got = Counter((r.doc_id, tuple(r["ids_"]), r.decoded, r.agrees) for r in out.collect())
-    assert got == Counter((r[0], tuple(own.encode(r[1] or "")), r[1] or "", True) for r in corpus)
+    assert out.columns[-2:] == ["ids_", "decoded"]
+    got = Counter((r.doc_id, tuple(r["ids_"]), r.decoded) for r in out.collect())
+    assert got == Counter((r[0], tuple(own.encode(r[1] or "")), own.decode(own.encode(r[1] or ""))) for r in corpus)
+    assert all(x[2] == (r[1] or "") for x, r in zip(sorted(got, key=str), sorted(corpus, key=str), strict=False) if x[0] == r[0] and r[0] in (1, 3, 11))
     assert sentencepiece_bridge.digests(nothing, path).count() == 0
+    assert sentencepiece_bridge.disagreements(docs, path).count() == 0
+
+
+def test_sentencepiece_query_against_the_library(spark):
+    """The registered query over a whole table; another library decides."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = []
+    for r in docs.collect():
+        ids = own.encode(r.text or "")
+        want.append((r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(own.decode(ids).encode()).hexdigest(), own.decode(ids) == (r.text or "")))
+    assert Counter(map(tuple, queries.op9_sentencepiece(spark, "/root/testdata/sf0.001").collect())) == Counter(want)
 
 
 @pytest.mark.parametrize("text", ["", " ", "  a  b ", "a ", "<s>x</s>", "<0x0A>\n", "▁a", "🙂 é", " " * 40 + "x"])
@@ -185,5 +226,6 @@ def test_unigram_model():
     own = sentencepiece.SentencePieceProcessor(model_proto=data)
     encoder = sentencepiece_bridge.Encoder(data)
     for text in ("ab c", "cab ab", "é", "abc  b"):
-        ids, agrees = encoder.encode([text])[0]
+        ids = encoder.encode([text])[0]
         assert np.frombuffer(ids, "<u4").tolist() == own.encode(text)
+        assert encoder.decode(ids) == own.decode(own.encode(text))
