@@ -4,8 +4,10 @@ The model's protobuf is read here, field by field.  Its normaliser, the marker
 of white space, its pieces (unigram scores, or the merges that BPE scores
 imply) and byte fallback are rebuilt as a Tokenizer.  As no piece goes on
 after a word into the marker of the next, a text is a row of units (markers
-and the word after them); each different unit is encoded once, multithreaded,
-and compared with SentencePiece's own result, which counts where they differ.
+and the word after them), so a very long one can be cut between units; batches
+are encoded multithreaded.  The ids are the rebuilt tokenizer's, and what its
+decoder makes of them is the text.  ``disagreements`` compares whole texts
+with SentencePiece.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from . import common as c
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE_BYTES = 24 << 20
+#: A place where a text can be cut: a marker after something else.
+BREAK = re.compile(f"[^ {MARK}][ {MARK}]")
+#: Characters of a text that are encoded as one, about, and of the texts in a batch.
+LONG, STEP = 1 << 16, 1 << 18
 
 # Fixed values of sentencepiece_model.proto: kinds of pieces, kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -94,8 +99,12 @@ class Model:
         found = [(-s, -i, p[:i], p[i:]) for p, s in usable.items() for i in range(1, len(p)) if p[:i] in usable and p[i:] in usable]
         return [(a, b) for _, _, a, b in sorted(found)]
 
-    def tokenizer(self, units: bool = False):
-        """A Tokenizer with the model's normaliser, marker, pieces, byte fallback and decoder; with ``units`` for single units."""
+    def tokenizer(self, parts: bool = False):
+        """A Tokenizer with the model's normaliser, marker, pieces, byte fallback and decoder.
+
+        With ``parts`` for parts of texts that are normalised and have their
+        first marker already.
+        """
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         if self.kind == BPE:
@@ -107,15 +116,12 @@ class Model:
             out = Tokenizer(models.Unigram(scores, self.unknown, self.byte_fallback))
         else:
             raise ValueError(f"model type {self.kind}")
-        steps = self._normalisers(normalizers, Regex)
-        if not units:
-            if self.prefix:
-                steps.append(normalizers.Prepend(MARK))
-            steps.append(normalizers.Replace(" ", MARK))
-            out.pre_tokenizer = pre_tokenizers.Split(Regex(UNIT.pattern), "isolated")
-        if steps and not units:
-            out.normalizer = normalizers.Sequence(steps)
-        out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.prefix and not units else [])])
+        steps = [] if parts else self._normalisers(normalizers, Regex)
+        if self.prefix and not parts:
+            steps.append(normalizers.Prepend(MARK))
+        out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
+        out.pre_tokenizer = pre_tokenizers.Split(Regex(UNIT.pattern), "isolated")
+        out.decoder = decoders.Sequence([decoders.Replace(self.pieces[self.unknown][0], " ⁇ "), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.prefix and not parts else [])])
         return out
 
     def _normalisers(self, normalizers, Regex) -> list:
@@ -133,54 +139,54 @@ class Model:
 
 
 class Encoder:
-    """Encodes and decodes texts, each different unit once."""
+    """Encodes whole texts by the rebuilt tokenizer, in multithreaded batches, and decodes ids.
 
-    def __init__(self, data: bytes, verify: bool = True):
+    What the rebuilt decoder makes of each piece is a table; runs of bytes
+    that pieces of byte fallback name are joined before they are read as UTF-8.
+    """
+
+    def __init__(self, data: bytes):
         self.model = Model(data)
         self.normaliser = self.model.normaliser()
-        self.units = self.model.tokenizer(units=True)
-        self.own = None
-        if verify:
-            import sentencepiece
-
-            self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.cache: dict[str, tuple[bytes, int, bool]] = {}
-        self.size = 0
-        self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() if k != CONTROL else b"" for p, _, k in self.model.pieces]
-        self.bytes[self.model.unknown] = " ⁇ ".encode()
-
-    def _learn(self, new: list[str]) -> None:
-        if self.size > CACHE_BYTES:
-            self.cache, self.size = {}, 0
-        for s in range(0, len(new), 4096):
-            part = new[s : s + 4096]
-            found = [e.ids for e in self.units.encode_batch_fast(part, add_special_tokens=False)]
-            own = found
-            if self.own is not None:
-                own = self.own.encode([u.removeprefix(MARK) if self.model.prefix else u for u in part], num_threads=1)
-                own = [found[i] if u == MARK or (self.model.prefix and u[0] != MARK) else x for i, (u, x) in enumerate(zip(part, own, strict=True))]
-            for u, a, b in zip(part, found, own, strict=True):
-                self.cache[u] = (np.array(b, "<u4").tobytes(), len(b), a == b)
-                self.size += len(u) + 4 * len(b) + 350
-
-    def encode(self, batch: list[str]) -> list[tuple[bytes, bool]]:
-        """For each text its ids as little-endian unsigned 32-bit integers, and whether both libraries agree."""
-        split = []
-        for x in batch:
-            x = self.normaliser.normalize_str(x) if self.normaliser is not None else x
-            split.append(UNIT.findall((MARK if self.model.prefix else "") + x.replace(" ", MARK)) if x else [])
-        new = set().union(*split) - self.cache.keys()
-        if new:
-            self._learn(sorted(new))
-            missing = set().union(*split) - self.cache.keys()
-            if missing:
-                self._learn(sorted(missing))
-        get = self.cache.__getitem__
-        out = []
-        for units in split:
-            found = [get(u) for u in units]
-            out.append((b"".join([x[0] for x in found]), all(x[2] for x in found)))
-        return out
+        self.parts = self.model.tokenizer(parts=True)
+        one = self.parts.decoder.decode
+        self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else one([p]).encode() if k != CONTROL else b"" for p, _, k in self.model.pieces]
+
+    def _parts(self, text: str) -> list[str]:
+        """A text, cut before markers where it is long."""
+        text = self.normaliser.normalize_str(text) if self.normaliser is not None else text
+        if not text:
+            return []
+        text = MARK + text if self.model.prefix else text
+        out, at = [], 0
+        while len(text) - at > LONG:
+            cut = BREAK.search(text, at + LONG)
+            if cut is None:
+                break
+            out.append(text[at : cut.start() + 1])
+            at = cut.start() + 1
+        return [*out, text[at:]]
+
+    def encode(self, batch: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in batch]
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            for (i, _), e in zip(held, self.parts.encode_batch_fast([x for _, x in held], add_special_tokens=False), strict=True):
+                out[i].append(struct.pack(f"<{len(e)}I", *e.ids))
+            held.clear()
+
+        for i, text in enumerate(batch):
+            for part in self._parts(text):
+                held.append((i, part))
+                size += len(part)
+                if size > STEP:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(x) for x in out]
 
     def decode(self, ids: bytes) -> str:
         """The text of some ids; bytes that aren't UTF-8 become replacement characters."""
@@ -202,53 +208,87 @@ def _encoder(data: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, model: str | bytes) -> DataFrame:
-    """docs with ``ids`` (array of int), ``decoded`` (their text) and ``agrees`` (SentencePiece gives the same ids).
+def _texts(column: pa.Array) -> list[str]:
+    return [x or "" for x in column.to_pylist()]
 
-    Where the libraries differ the ids are SentencePiece's and ``agrees`` is
-    false.  Null and empty texts have no ids and decode to the empty text.
-    All columns and rows stay; new columns get a trailing underscore where
-    docs has such a name already.  ``model`` is a path that the driver can
-    read, or the file's bytes; the model, of a fixed size, goes to the tasks.
-    """
+
+def _lists(found: list[bytes]) -> pa.Array:
+    size = np.array([len(x) // 4 for x in found], np.int64)
+    flat = pa.Array.from_buffers(pa.int32(), int(size.sum()), [None, pa.py_buffer(b"".join(found))])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), flat)
+
+
+def _shared(docs: DataFrame, model: str | bytes):
+    """The model's bytes, of a fixed size, for the tasks."""
     c.small_batches(docs.sparkSession)
-    data = model if isinstance(model, bytes) else open(model, "rb").read()
-    shared = docs.sparkSession.sparkContext.broadcast(data)
-    names = [c.fresh(docs, n) for n in ("ids", "decoded", "agrees")]
+    return docs.sparkSession.sparkContext.broadcast(model if isinstance(model, bytes) else open(model, "rb").read())
+
+
+def encode(docs: DataFrame, model: str | bytes) -> DataFrame:
+    """docs with ``ids`` (array of int) and ``decoded`` (their text).
+
+    Texts are read whole, however long.  Null and empty texts have no ids and
+    decode to the empty text.  Rows are encoded on their own, so ties and
+    repeated rows don't matter; an empty table gives an empty one.  All
+    columns and rows stay; new columns get a trailing underscore where docs
+    has such a name already.  ``model`` is a path that the driver can read, or
+    the file's bytes.
+    """
+    shared = _shared(docs, model)
+    names = [c.fresh(docs, n) for n in ("ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                found = encoder.encode([x or "" for x in part.column("text").to_pylist()])
-                size = np.array([len(x) // 4 for x, _ in found], np.int64)
-                flat = pa.Array.from_buffers(pa.int32(), int(size.sum()), [None, pa.py_buffer(b"".join(x for x, _ in found))])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array([encoder.decode(x) for x, _ in found], pa.string()), pa.array([a for _, a in found], pa.bool_())], names=[*b.schema.names, *names])
+                found = encoder.encode(_texts(part.column("text")))
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(found), pa.array([encoder.decode(x) for x in found], pa.string())], names=[*b.schema.names, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.StringType()), T.StructField(names[2], T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.StringType())])
     return docs.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, model: str | bytes) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (unsigned, of little-endian unsigned 32-bit ids), decoded_sha256, round_trip, agrees of encode()."""
-    c.small_batches(docs.sparkSession)
-    data = model if isinstance(model, bytes) else open(model, "rb").read()
-    shared = docs.sparkSession.sparkContext.broadcast(data)
+    """One row for each document: doc_id, n_tokens, ids_crc32 (unsigned, of little-endian unsigned 32-bit ids), decoded_sha256, round_trip (whether the ids decode to the text).
+
+    Nulls, empty and long texts, ties, repeats and empty tables are as in
+    encode(); other columns than doc_id and text aren't read.
+    """
+    shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                texts = [x or "" for x in part.column("text").to_pylist()]
+                texts = _texts(part.column("text"))
                 found = encoder.encode(texts)
-                back = [encoder.decode(x) for x, _ in found]
+                back = [encoder.decode(x) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([zlib.crc32(x) for x, _ in found], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == y for x, y in zip(texts, back, strict=True)]), pa.array([a for _, a in found])],
-                    names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "agrees"],
+                    [part.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([zlib.crc32(x) for x in found], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()), pa.array([x == y for x, y in zip(texts, back, strict=True)], pa.bool_())],
+                    names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"],
                 )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, agrees boolean")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+
+
+def disagreements(docs: DataFrame, model: str | bytes) -> DataFrame:
+    """doc_id of the documents whose whole texts SentencePiece itself encodes to other ids, or decodes to another text.
+
+    The parity check, which costs as much again as encoding and so isn't part of it.
+    """
+    shared = _shared(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        encoder, own = _encoder(shared.value), sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        for b in batches:
+            texts = _texts(b.column("text"))
+            theirs = own.encode(texts, num_threads=1)
+            bad = [struct.pack(f"<{len(y)}I", *y) != x or encoder.decode(x) != own.decode(y) for x, y in zip(encoder.encode(texts), theirs, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(bad, pa.bool_()))], names=["doc_id"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long")
