@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..engine import Engine
+from ..functions.text import sql_of
 from .registry import Tables, query
 
 # name, arguments of the function over the table's columns, DuckDB's expression, its type
@@ -28,10 +31,43 @@ def _over(table: str, key: str, cases: list[Case]) -> None:
             v = F.round(v, 6) if spark_kind == "double" else v
             return getattr(t, table).select(C(key).alias("k"), v.alias("v"))
 
-        query(name, f"SELECT {key} AS k, {value} AS v FROM {table}")(run)
+        def run_text(t: Tables, build: Callable[[], Column] = build, kind: str = kind) -> object:
+            v = f"CAST({_text(build)} AS {'TIMESTAMP_NTZ' if kind == 'TIMESTAMP' else 'STRING' if kind == 'VARCHAR' else kind})"
+            engine = Engine(t.spark)
+            engine.register(table, getattr(t, table))
+            return engine.sql(f"SELECT {key} AS k, {f'round({v}, 6)' if kind == 'DOUBLE' else v} AS v FROM {table}")
+
+        oracle = f"SELECT {key} AS k, {value} AS v FROM {table}"
+        query(name, oracle)(run)
+        query(f"{name}_text", oracle)(run_text)
+
+
+#: While a call's text is wanted: the texts of the calls inside it.
+_calls: list[str] | None = None
+
+
+def call(name: str, *args: object) -> Column:
+    """A function of the library; or, for the SQL form of a query, a mark for the text of its call."""
+    if _calls is None:
+        return fn.call(name, *args)
+    shown = [" ".join(sql_of(x)) if isinstance(x, Column) else "'" + x + "'" if isinstance(x, str) else str(x) for x in args]
+    _calls.append(f"{name}({', '.join(shown)})")
+    return F.expr(f"call__{len(_calls) - 1}")
+
+
+def _text(build: Callable[[], Column]) -> str:
+    """The SQL text of a query's value."""
+    global _calls
+    _calls = []
+    try:
+        out = " ".join(sql_of(build()))
+        for i in reversed(range(len(_calls))):
+            out = re.sub(rf"\bcall__{i}\b", lambda m, i=i: _calls[i], out)
+        return out
+    finally:
+        _calls = None
 
 
-call = fn.call
 _name, _acct, _seg = "c_name", "c_acctbal", "c_mktsegment"
 NUL = "nullif(c_mktsegment, 'BUILDING')"
 
@@ -173,6 +209,7 @@ _over("events", "event_id", [
 def _now(name: str, function: str, sql: str, check: Callable[[Column], Column]) -> None:
     """Functions of the present: what can be said of them whatever the time."""
     query(name, f"SELECT {sql} AS ok")(lambda t: t.spark.range(1).select(check(call(function)).alias("ok")))
+    query(f"{name}_text", f"SELECT {sql} AS ok")(lambda t: Engine(t.spark).sql(f"SELECT {function}() AS v").select(check(C("v")).alias("ok")))
 
 
 _now("DAT3_curdate", "curdate", "true", lambda v: v == F.current_date())
