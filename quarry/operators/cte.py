@@ -41,25 +41,39 @@ def set_guards(guards: Guards, **values: float) -> Guards:
     return replace(guards, **{k: bool(v) if k == "detect_repeats" else v for k, v in values.items()})
 
 
+def _state(frontier: DataFrame) -> tuple[int, int, int]:
+    """The number of rows of a frontier, and two sums of their hashes: equal for equal rows in any order."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(frontier.columns)]), {"ignoreNullFields": "false"})
+    sums = [F.coalesce(F.sum(F.xxhash64(*x).cast("decimal(38,0)")), F.lit(0)).alias(n) for n, x in (("a", [row]), ("b", [F.lit(1), row]))]
+    r = frontier.agg(F.count("*").alias("n"), *sums).first()
+    return r["n"], int(r["a"]), int(r["b"])
+
+
 def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = False, guards: Guards | None = None) -> DataFrame:
     """WITH RECURSIVE: the seed, and what ``step`` makes of each frontier, until it makes nothing.
 
     UNION ALL keeps all rows; ``distinct`` (UNION) only goes on with rows that
     aren't there yet, which an anti join finds.  Each frontier is written to
     the shared folder, so plans don't grow and lost executors don't matter;
-    the driver only sees counts.
+    the driver only sees counts and sums of hashes.  A UNION ALL whose frontier
+    holds the same rows as an earlier one would never end, and is an error
+    unless ``detect_repeats`` is off.
     """
     guards = guards or Guards()
     began, frontier = time.time(), cut(seed.distinct() if distinct else seed)
-    parts, rows = [frontier], frontier.count()
-    found = rows
-    turn = 0
+    parts, state = [frontier], _state(frontier)
+    rows = found = state[0]
+    seen_states, turn = set(), 0
     while found:
         turn += 1
         if turn > guards.max_iterations:
             raise RecursionLimit(f"over {guards.max_iterations} iterations")
         if guards.timeout and time.time() - began > guards.timeout:
             raise RecursionLimit(f"over {guards.timeout} seconds")
+        if not distinct and guards.detect_repeats:
+            if state in seen_states:
+                raise RecursionLimit("a frontier of UNION ALL came twice")
+            seen_states.add(state)
         new = step(frontier).toDF(*seed.columns)
         if distinct:
             seen = parts[0]
@@ -71,7 +85,8 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
                 cond = cond & x
             new = new.distinct().alias("n").join(seen.alias("s"), cond, "left_anti")
         frontier = cut(new)
-        found = frontier.count()
+        state = _state(frontier)
+        found = state[0]
         rows += found
         if rows > guards.max_rows:
             raise RecursionLimit(f"over {guards.max_rows} rows")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def order(df: DataFrame, *keys: Column) -> DataFrame:
     """A global order.  CLUSTER BY, DISTRIBUTE BY and SORT BY mean the same here."""
@@ -39,8 +41,30 @@ def top(df: DataFrame, n: int, keys: list[Column], ties: list[str] | None = None
 
 
 def top_percent(df: DataFrame, percent: float, keys: list[Column], ties: list[str] | None = None) -> DataFrame:
-    """The first percent of the rows, which are counted first."""
-    return top(df, percent_rows(df.count(), percent), keys, ties)
+    """The first percent of the rows, a share of the table that no one task can hold.
+
+    The rows are sorted by ranges and written with their place, which is their
+    partition and their number in it.  The driver gets a count for each
+    partition and so the place of the last row; with ``ties`` also that row's
+    keys, and rows that equal them join in.
+    """
+    keys = keys or [F.lit(1)]
+    placed = cut(df.orderBy(*keys).withColumn("__place", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("__place", 33)
+    sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    left = percent_rows(sum(n for _, n in sizes), percent)
+    last = -1
+    for p, n in sizes:
+        if left <= 0:
+            break
+        last = (p << 33) + min(left, n) - 1
+        left -= n
+    hit = F.col("__place") <= last
+    if ties is not None and last >= 0:
+        edge = placed.where(F.col("__place") == last).select(*[F.col(c).alias(f"__t{i}") for i, c in enumerate(ties)])
+        one = edge.first()  # one row
+        hit = hit | reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(one[f"__t{i}"]).cast(edge.schema[i].dataType)) for i, c in enumerate(ties)])
+    return placed.where(hit).orderBy("__place").drop("__place")
 
 
 def fetch(df: DataFrame, n: float, keys: list[Column], percent: bool = False, ties: list[str] | None = None) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: Decimal digits that each holds.
+DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
 
 
 def common_type(a: T.DataType, b: T.DataType, unsigned: bool = False) -> T.DataType:
-    """The type that both sides take: wider integers, 64 bits for signed with unsigned, doubles for floats, text for text with numbers."""
+    """The type that both sides take: wider integers, 64 bits for signed with unsigned, decimals for decimals with those or integers, doubles for floats, text for text with numbers."""
     if a == b:
         return a
     if isinstance(a, T.NullType):
@@ -20,6 +22,11 @@ def common_type(a: T.DataType, b: T.DataType, unsigned: bool = False) -> T.DataT
     both = (a, b)
     if all(isinstance(x, INTEGERS) for x in both):
         return T.LongType() if unsigned else max(both, key=lambda x: INTEGERS.index(type(x)))
+    if all(isinstance(x, (*INTEGERS, T.DecimalType)) for x in both):
+        a, b = (x if isinstance(x, T.DecimalType) else T.DecimalType(DIGITS[type(x)], 0) for x in both)
+        scale = max(a.scale, b.scale)
+        whole = max(a.precision - a.scale, b.precision - b.scale)
+        return T.DecimalType(min(38, whole + scale), min(scale, max(38 - whole, 0)))
     if all(isinstance(x, T.NumericType) for x in both):
         return T.DoubleType()
     if all(isinstance(x, (T.DateType, T.TimestampType, T.TimestampNTZType)) for x in both):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import cut
+from .storage import cut, stored
 
 ROW = "__rid"
 
@@ -44,6 +44,10 @@ class Table:
     unique: tuple[tuple[str, ...], ...] = ()
     indexes: dict[str, tuple[str, ...]] = field(default_factory=dict)
     foreign: tuple[tuple[str, str, str], ...] = ()
+    #: The Parquet folders whose rows these are, if they are whole folders.
+    files: tuple[str, ...] = ()
+    #: Whether the rows are a DataFrame that is computed anew each time.
+    wrapped: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -56,8 +60,29 @@ class Table:
     def keys(self) -> list[tuple[str, ...]]:
         return [k for k in (self.primary, *self.unique) if k]
 
+    def _typed(self, rows: DataFrame) -> DataFrame:
+        return rows.select(ROW, *[F.col(f"`{f.name}`").cast(f.kind).alias(f.name) for f in self.fields])
+
     def with_rows(self, rows: DataFrame) -> Table:
-        return replace(self, rows=cut(rows.select(ROW, *[F.col(f"`{f.name}`").cast(f.kind).alias(f.name) for f in self.fields])))
+        """A snapshot of other rows, written as one folder."""
+        done, path = stored(self._typed(rows))
+        return replace(self, rows=done, files=(path,), wrapped=False)
+
+    def with_stored(self, rows: DataFrame) -> Table:
+        """A snapshot of rows that are in the shared folder already."""
+        return replace(self, rows=self._typed(rows), files=(), wrapped=False)
+
+    def with_added(self, rows: DataFrame) -> Table:
+        """A snapshot that also has these rows: old folders stay as they are, one is added.
+
+        Beyond MANY folders, or many unions, all are written as one.
+        """
+        new, path = stored(self._typed(rows))
+        files = (*self.files, path)
+        if self.files and len(files) <= MANY:
+            return replace(self, rows=new.sparkSession.read.schema(new.schema).parquet(*files), files=files)
+        both = replace(self, rows=self.rows.unionByName(new), files=())
+        return both if not self.files and not _is_union(self.rows) else self.with_rows(both.rows)
 
 
 @dataclass(frozen=True)
@@ -67,6 +92,16 @@ class Change:
     last_id: int | None = None
 
 
+#: Folders that a snapshot may have.
+MANY = 64
+#: New rows that are sent to all tasks to look for their keys; more are joined as Spark sees fit.
+SMALL_ROWS = 100_000
+
+
+def _is_union(df: DataFrame) -> bool:
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "Union"
+
+
 def numbered(df: DataFrame, base: int = 0) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id() + base)
 
@@ -78,7 +113,7 @@ def create(spark: SparkSession, name: str, fields: list[Field], primary: tuple[s
 
 def wrap(name: str, df: DataFrame, primary: tuple[str, ...] = (), unique: tuple[tuple[str, ...], ...] = ()) -> Table:
     """A table over a DataFrame, without copying it."""
-    return Table(name, tuple(Field(f.name, f.dataType) for f in df.schema), numbered(df), primary, unique)
+    return Table(name, tuple(Field(f.name, f.dataType) for f in df.schema), numbered(df), primary, unique, wrapped=True)
 
 
 def _check_fields(table: Table, rows: DataFrame) -> None:
@@ -98,9 +133,25 @@ def _check_fields(table: Table, rows: DataFrame) -> None:
             raise ConstraintError(found[0][0])
 
 
-def _check_unique(table: Table, rows: DataFrame) -> None:
-    """Keys with a null in them are all different, but not primary ones."""
+def _check_new(table: Table, rows: DataFrame) -> None:
+    """New rows against each other, and by a semi join against the old ones, which aren't grouped or shuffled for it."""
+    _check_unique(table, rows)
+    for k in table.keys():
+        cols = [f"`{c}`" for c in k]
+        if table.rows.select(*cols).join(F.broadcast(rows.select(*cols)) if _small(rows) else rows.select(*cols), list(k), "left_semi").limit(1).collect():
+            raise ConstraintError(f"duplicate key ({', '.join(k)}) in {table.name}")
+
+
+def _small(rows: DataFrame) -> bool:
+    """Whether rows that are written already are few enough to be sent to all tasks."""
+    return rows.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
+def _check_unique(table: Table, rows: DataFrame, changed: set[str] | None = None) -> None:
+    """Keys with a null in them are all different, but not primary ones; with ``changed`` only keys that have such a column."""
     for k in table.keys():
+        if changed is not None and not changed & set(k):
+            continue
         cols = [f"`{c}`" for c in k]
         if rows.dropna(subset=list(k)).groupBy(*cols).agg(F.count("*").alias("__n")).where("__n > 1").limit(1).collect():
             raise ConstraintError(f"duplicate key ({', '.join(k)}) in {table.name}")
@@ -157,9 +208,8 @@ def insert(table: Table, new: DataFrame, mode: str = "error", assign: dict[str,
     keys = table.keys()
     if mode == "error" or not keys:
         _check_fields(table, rows)
-        out = table.with_rows(table.rows.unionByName(rows))
-        _check_unique(table, out.rows)
-        return Change(out, rows.drop(ROW), first)
+        _check_new(table, rows)
+        return Change(table.with_added(rows), rows.drop(ROW), first)
     if mode == "upsert":
         return _upsert(table, rows, assign or {}, first)
     if mode == "ignore":
@@ -169,7 +219,7 @@ def insert(table: Table, new: DataFrame, mode: str = "error", assign: dict[str,
             rows = rows.join(table.rows.select(*[f"`{c}`" for c in k]).dropna(), list(k), "left_anti")
         rows = cut(rows.select(ROW, *table.columns))
         _check_fields(table, rows)
-        return Change(table.with_rows(table.rows.unionByName(rows)), rows.drop(ROW), first)
+        return Change(table.with_added(rows), rows.drop(ROW), first)
     _check_fields(table, rows)
     old = table.rows
     for k in keys:  # of new rows with equal keys the last, and no old row whose key comes
@@ -208,7 +258,7 @@ def _upsert(table: Table, rows: DataFrame, assign: dict[str, str], first: int |
     done = cut(done.select("__r.*", "__changed"))
     _check_fields(table, done)
     _check_unique(table, done)
-    return Change(table.with_rows(done), done.where("__changed").select(*columns), first)
+    return Change(table.with_stored(done), done.where("__changed").select(*columns), first)
 
 
 def update(table: Table, assign: dict[str, str], where: str | None = None, source: DataFrame | None = None, order: list[str] | None = None, limit: int | None = None) -> Change:
@@ -216,6 +266,8 @@ def update(table: Table, assign: dict[str, str], where: str | None = None, sourc
     missing = set(assign) - set(table.columns)
     if missing:
         raise ValueError(f"{table.name} has no column {', '.join(sorted(missing))}")
+    if source is not None or limit is not None:
+        table = _fixed(table)
     rows = table.rows.alias(table.name)
     hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
     if source is None and limit is None:
@@ -227,8 +279,13 @@ def update(table: Table, assign: dict[str, str], where: str | None = None, sourc
         done = done.select(ROW, "__hit", *[F.when(F.col("__hit"), F.col(f"__v_{f.name}")).otherwise(F.col(f"`{f.name}`")).cast(f.kind).alias(f.name) if f.name in assign else F.col(f"`{f.name}`") for f in table.fields])
     done = cut(done)
     _check_fields(table, done)
-    _check_unique(table, done)
-    return Change(table.with_rows(done), done.where("__hit").select(*table.columns))
+    _check_unique(table, done, set(assign))
+    return Change(table.with_stored(done), done.where("__hit").select(*table.columns))
+
+
+def _fixed(table: Table) -> Table:
+    """Row numbers that hold still: those of a DataFrame that is computed anew each time are written first."""
+    return table.with_rows(table.rows) if table.wrapped else table
 
 
 def _chosen(rows: DataFrame, hit: Column, source: DataFrame | None, order: list[str] | None, limit: int | None, values: dict[str, Column]) -> DataFrame:
@@ -243,6 +300,8 @@ def _chosen(rows: DataFrame, hit: Column, source: DataFrame | None, order: list[
 
 
 def delete(table: Table, where: str | None = None, source: DataFrame | None = None, order: list[str] | None = None, limit: int | None = None) -> Change:
+    if source is not None or limit is not None:
+        table = _fixed(table)
     rows = table.rows.alias(table.name)
     hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
     if source is None and limit is None:
@@ -250,7 +309,7 @@ def delete(table: Table, where: str | None = None, source: DataFrame | None = No
     else:
         chosen = _chosen(rows, hit, source, order, limit, {})
         done = cut(table.rows.join(chosen, ROW, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False))))
-    return Change(table.with_rows(done.where("not __hit")), done.where("__hit").select(*table.columns))
+    return Change(table.with_stored(done.where("not __hit")), done.where("__hit").select(*table.columns))
 
 
 def truncate(table: Table) -> Change:
@@ -268,13 +327,13 @@ def add_column(table: Table, f: Field) -> Table:
 def drop_column(table: Table, name: str) -> Table:
     if name in table.primary:
         raise ConstraintError(f"{name} is part of the primary key")
-    return replace(table, fields=tuple(f for f in table.fields if f.name != name), rows=table.rows.drop(name))
+    return replace(table, fields=tuple(f for f in table.fields if f.name != name), rows=table.rows.drop(name), files=())
 
 
 def rename_column(table: Table, old: str, new: str) -> Table:
     swap = lambda cols: tuple(new if c == old else c for c in cols)
     fields = tuple(replace(f, name=new) if f.name == old else f for f in table.fields)
-    return replace(table, fields=fields, rows=table.rows.withColumnRenamed(old, new), primary=swap(table.primary), unique=tuple(swap(u) for u in table.unique))
+    return replace(table, fields=fields, rows=table.rows.withColumnRenamed(old, new), files=(), primary=swap(table.primary), unique=tuple(swap(u) for u in table.unique))
 
 
 def modify_column(table: Table, f: Field) -> Table:

@@ -33,15 +33,16 @@ def recursive_distinct(t: Tables) -> DataFrame:
     )
 
 
-@query("CTE4_guardrails", "SELECT 'over 5 iterations' AS message, 128 AS max_iterations, 50000 AS max_rows")
+@query("CTE4_guardrails", "SELECT 'over 5 iterations' AS message, 'a frontier of UNION ALL came twice' AS repeated, 128 AS max_iterations, 50000 AS max_rows")
 def guardrails(t: Tables) -> DataFrame:
-    message = ""
-    try:
-        cte.recursive(t.spark.range(1), lambda r: r, guards=cte.Guards(max_iterations=5))
-    except cte.RecursionLimit as e:
-        message = str(e)
+    messages = []
+    for step, guards in ((lambda r: r.selectExpr("id + 1 AS id"), cte.Guards(max_iterations=5)), (lambda r: r.selectExpr("(id + 1) % 3 AS id"), cte.Guards())):
+        try:
+            cte.recursive(t.spark.range(1), step, guards=guards)
+        except cte.RecursionLimit as e:
+            messages.append(str(e))
     g = cte.Guards()
-    return t.spark.createDataFrame([(message, g.max_iterations, g.max_rows)], "message string, max_iterations int, max_rows int")
+    return t.spark.createDataFrame([(*messages, g.max_iterations, g.max_rows)], "message string, repeated string, max_iterations int, max_rows int")
 
 
 @query("CTE5_variables", "SELECT * FROM (VALUES ('cte.detect_repeats', '1'), ('cte.max_iterations', '9'), ('cte.max_rows', '50000'), ('cte.timeout', '0')) v(name, value)")

@@ -46,9 +46,9 @@ def residual(t: Tables) -> DataFrame:
     return j.join(t.orders, t.lineitem, cond).select("o_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("JOI9_key_driven", "SELECT o_orderkey, l_partkey, l_quantity FROM (SELECT * FROM orders WHERE o_orderkey < 40) JOIN lineitem ON o_orderkey = l_orderkey")
+@query("JOI9_key_driven", "SELECT o_orderkey, l_partkey, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def key_driven(t: Tables) -> DataFrame:
-    return j.join(t.orders.where("o_orderkey < 40"), t.lineitem, C("o_orderkey") == C("l_orderkey")).select("o_orderkey", "l_partkey", "l_quantity")
+    return j.join(t.orders, t.lineitem, C("o_orderkey") == C("l_orderkey")).select("o_orderkey", "l_partkey", "l_quantity")
 
 
 @query("JOI10_semi_anti", "SELECT s_suppkey, 'with' AS kind FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49) UNION ALL SELECT s_suppkey, 'without' FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)")

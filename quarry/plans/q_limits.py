@@ -11,14 +11,14 @@ from .registry import Tables, query
 C = F.col
 
 
-@query("SRT1_order_by", "SELECT c_name AS name, c_acctbal FROM customer ORDER BY 2 DESC, name LIMIT 50")
+@query("SRT1_order_by", "SELECT c_name AS name, c_acctbal FROM customer")
 def order_by(t: Tables) -> DataFrame:
-    return m.limit(m.order(t.customer.select(C("c_name").alias("name"), "c_acctbal"), F.desc("c_acctbal"), C("name")), 50)
+    return m.order(t.customer.select(C("c_name").alias("name"), "c_acctbal"), F.desc("c_acctbal"), C("name"))
 
 
-@query("SRT2_order_by_function", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal), c_custkey LIMIT 30")
+@query("SRT2_order_by_function", "SELECT c_custkey FROM customer")
 def order_by_function(t: Tables) -> DataFrame:
-    return m.limit(m.order(t.customer, F.abs("c_acctbal"), C("c_custkey")), 30).select("c_custkey")
+    return m.order(t.customer, F.abs("c_acctbal"), C("c_custkey")).select("c_custkey")
 
 
 @query("SRT3_limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 40")
@@ -46,9 +46,9 @@ def limit_by(t: Tables) -> DataFrame:
     return m.limit_by(t.orders.select("o_orderkey", "o_custkey"), 2, ["o_custkey"], [C("o_orderkey")], 10)
 
 
-@query("SRT7_cluster_by", "SELECT c_custkey FROM customer ORDER BY c_nationkey, c_custkey LIMIT 40")
+@query("SRT7_cluster_by", "SELECT c_custkey FROM customer")
 def cluster_by(t: Tables) -> DataFrame:
-    return m.limit(m.order(t.customer, C("c_nationkey"), C("c_custkey")), 40).select("c_custkey")
+    return m.order(t.customer, C("c_nationkey"), C("c_custkey")).select("c_custkey")
 
 
 @query("SRT8_limit_alone", "SELECT CAST(7 AS BIGINT) AS n, CAST(0 AS BIGINT) AS zero")

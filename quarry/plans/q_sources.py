@@ -106,13 +106,13 @@ def create_table_as(t: Tables) -> DataFrame:
     return e.sql("SELECT * FROM per_nation")
 
 
-@query("SINK3_client", "SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 10")
+@query("SINK3_client", "SELECT c_custkey, c_name FROM customer")
 def client(t: Tables) -> DataFrame:
     from ..engine import Engine
 
     e = Engine(t.spark)
     e.register("customer", t.customer)
-    return e.query("SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 10")
+    return e.query("SELECT c_custkey, c_name FROM customer")
 
 
 @query("PRJ1_columns", "SELECT c.c_custkey AS id, c.c_name AS name FROM customer c")
@@ -145,9 +145,9 @@ def window_item(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.row_number().over(Spec(("o_custkey",), (F.col("o_orderkey"),)).ranking()).cast("long").alias("n"))
 
 
-@query("PRJ6_hidden_sort_key", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
+@query("PRJ6_hidden_sort_key", "SELECT c_name FROM customer")
 def hidden_sort_key(t: Tables) -> DataFrame:
-    return t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").limit(20).select("c_name")
+    return t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").select("c_name")
 
 
 @query("PRJ7_arithmetic", "SELECT l_orderkey, round(l_extendedprice * (1 - l_discount), 4) AS net, CAST(l_quantity AS BIGINT) AS q, 7 AS seven FROM lineitem")

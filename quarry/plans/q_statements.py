@@ -17,8 +17,8 @@ def engine(t: Tables, *names: str, **primary: tuple[str, ...]):
 
 
 ACCOUNTS = "CREATE TABLE accounts (id BIGINT PRIMARY KEY, name VARCHAR(40), balance DOUBLE NOT NULL DEFAULT 0, tier VARCHAR(8) DEFAULT 'basic')"
-FILL = "INSERT INTO accounts (id, name, balance) SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey <= 100"
-BASE = "(SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, 'basic' AS tier FROM customer WHERE c_custkey <= 100)"
+FILL = "INSERT INTO accounts (id, name, balance) SELECT c_custkey, c_name, c_acctbal FROM customer"
+BASE = "(SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, 'basic' AS tier FROM customer)"
 
 
 def accounts(t: Tables):
@@ -45,16 +45,16 @@ def _returned(name: str, statement: str, sql: str) -> None:
 
 _final(
     "DML1_insert_values",
-    "INSERT INTO accounts VALUES (1001, 'Ann', 5.5, 'gold'), (1002, 'Bo', 6, DEFAULT); INSERT INTO accounts SET id = 1003, name = 'Cy'; INSERT INTO accounts (id) VALUES (1004)",
-    f"SELECT * FROM {BASE} UNION ALL SELECT * FROM (VALUES (1001, 'Ann', 5.5, 'gold'), (1002, 'Bo', 6, 'basic'), (1003, 'Cy', 0, 'basic'), (1004, NULL, 0, 'basic'))",
+    "INSERT INTO accounts VALUES (9000001001, 'Ann', 5.5, 'gold'), (9000001002, 'Bo', 6, DEFAULT); INSERT INTO accounts SET id = 9000001003, name = 'Cy'; INSERT INTO accounts (id) VALUES (9000001004)",
+    f"SELECT * FROM {BASE} UNION ALL SELECT * FROM (VALUES (9000001001, 'Ann', 5.5, 'gold'), (9000001002, 'Bo', 6, 'basic'), (9000001003, 'Cy', 0, 'basic'), (9000001004, NULL, 0, 'basic'))",
 )
-_final("DML2_insert_select", "INSERT INTO accounts (id, name, balance) SELECT o_orderkey + 100000, o_orderpriority, o_totalprice FROM orders WHERE o_orderkey < 50", f"SELECT * FROM {BASE} UNION ALL SELECT o_orderkey + 100000, o_orderpriority, o_totalprice, 'basic' FROM orders WHERE o_orderkey < 50")
-_final("DML3_insert_ignore", "INSERT IGNORE INTO accounts (id, name) VALUES (1, 'clash'), (2001, 'first'), (2001, 'second')", f"SELECT * FROM {BASE} UNION ALL SELECT 2001, 'first', 0, 'basic'")
+_final("DML2_insert_select", "INSERT INTO accounts (id, name, balance) SELECT o_orderkey + 1000000000, o_orderpriority, o_totalprice FROM orders", f"SELECT * FROM {BASE} UNION ALL SELECT o_orderkey + 1000000000, o_orderpriority, o_totalprice, 'basic' FROM orders")
+_final("DML3_insert_ignore", "INSERT IGNORE INTO accounts (id, name) VALUES (1, 'clash'), (9000002001, 'first'), (9000002001, 'second')", f"SELECT * FROM {BASE} UNION ALL SELECT 9000002001, 'first', 0, 'basic'")
 _final("DML4_replace", "REPLACE INTO accounts (id, name, balance, tier) VALUES (1, 'one', 1, 'new'), (2, 'two', 2, 'new'), (2, 'two again', 3, 'new')", f"SELECT * FROM {BASE} WHERE id NOT IN (1, 2) UNION ALL SELECT * FROM (VALUES (1, 'one', 1.0, 'new'), (2, 'two again', 3.0, 'new'))")
 _final(
     "DML5_upsert",
-    "INSERT INTO accounts (id, name, balance) VALUES (1, 'up', 10), (1, 'up2', 20), (3001, 'in', 7) ON DUPLICATE KEY UPDATE name = VALUES(name), balance = (balance + VALUES(balance)) * 2, tier = 'upsert'",
-    f"SELECT id, CASE WHEN id = 1 THEN 'up2' ELSE name END AS name, CASE WHEN id = 1 THEN ((balance + 10) * 2 + 20) * 2 ELSE balance END AS balance, CASE WHEN id = 1 THEN 'upsert' ELSE tier END AS tier FROM {BASE} UNION ALL SELECT 3001, 'in', 7, 'basic'",
+    "INSERT INTO accounts (id, name, balance) VALUES (1, 'up', 10), (1, 'up2', 20), (9000003001, 'in', 7) ON DUPLICATE KEY UPDATE name = VALUES(name), balance = (balance + VALUES(balance)) * 2, tier = 'upsert'",
+    f"SELECT id, CASE WHEN id = 1 THEN 'up2' ELSE name END AS name, CASE WHEN id = 1 THEN ((balance + 10) * 2 + 20) * 2 ELSE balance END AS balance, CASE WHEN id = 1 THEN 'upsert' ELSE tier END AS tier FROM {BASE} UNION ALL SELECT 9000003001, 'in', 7, 'basic'",
 )
 _final("DML6_update", "UPDATE accounts SET balance = balance * 2 + 1, tier = CASE WHEN balance > 0 THEN 'plus' ELSE 'minus' END WHERE id % 3 = 0", f"SELECT id, name, CASE WHEN id % 3 = 0 THEN balance * 2 + 1 ELSE balance END AS balance, CASE WHEN id % 3 <> 0 THEN tier WHEN balance > 0 THEN 'plus' ELSE 'minus' END AS tier FROM {BASE}")
 _final("DML7_update_from", "UPDATE accounts SET tier = 'buyer' FROM orders o WHERE accounts.id = o.o_custkey AND o.o_totalprice > 200000", f"SELECT id, name, balance, CASE WHEN id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) THEN 'buyer' ELSE tier END AS tier FROM {BASE}")
@@ -64,14 +64,14 @@ _returned("DML10_returning", "UPDATE accounts SET balance = 0 WHERE id <= 5 RETU
 _final("DML12_truncate", "TRUNCATE TABLE accounts; INSERT INTO accounts (id) VALUES (1)", "SELECT CAST(1 AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS name, CAST(0 AS DOUBLE) AS balance, 'basic' AS tier")
 
 
-@query("DML11_unique", "SELECT * FROM (VALUES ('duplicate key (id) in accounts'), ('duplicate key (uni_id, form) in places'), ('id can''t be null'), ('name is over 40 characters')) v(message)")
+@query("DML11_unique", "SELECT * FROM (VALUES ('duplicate key (id) in accounts'), ('duplicate key (hall, seat) in seats'), ('id can''t be null'), ('name is over 40 characters')) v(message)")
 def unique(t: Tables) -> DataFrame:
     from ..operators.tables import ConstraintError
 
     e = accounts(t)
-    e.sql("CREATE TABLE places (uid INT PRIMARY KEY, uni_id INT, form VARCHAR(3), UNIQUE (uni_id, form)); INSERT INTO places VALUES (1, 100, 'GNS'), (2, 200, 'GNS')")
+    e.sql("CREATE TABLE seats (ticket INT PRIMARY KEY, hall INT, seat VARCHAR(4), UNIQUE (hall, seat)); INSERT INTO seats VALUES (1, 7, 'A12'), (2, 8, 'A12')")
     messages = []
-    for s in ("INSERT INTO accounts (id) VALUES (1)", "INSERT INTO places VALUES (3, 100, 'GNS')", "INSERT INTO accounts (name) VALUES ('x')", f"INSERT INTO accounts (id, name) VALUES (9999, '{'x' * 41}')"):
+    for s in ("INSERT INTO accounts (id) VALUES (1)", "INSERT INTO seats VALUES (3, 7, 'A12')", "INSERT INTO accounts (name) VALUES ('x')", f"INSERT INTO accounts (id, name) VALUES (9999, '{'x' * 41}')"):
         try:
             e.sql(s)
         except ConstraintError as x:
@@ -204,6 +204,6 @@ _front("SQL4_qualify", "SELECT o_orderkey FROM orders QUALIFY row_number() OVER
 _front("SQL5_prewhere_like", "SELECT c_custkey FROM customer PREWHERE c_nationkey < 9 WHERE c_mktsegment LIKE '%in%'", "SELECT c_custkey FROM customer WHERE c_nationkey < 9 AND c_mktsegment ILIKE '%in%'")
 _front("SQL6_any_all", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size < 3) OR p_size = ANY (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)", "SELECT p_partkey FROM part WHERE p_retailprice >= (SELECT max(p_retailprice) FROM part WHERE p_size < 3) OR p_size IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 _front("SQL7_window_chain", "SELECT event_id, sum(event_id) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM events WINDOW base AS (PARTITION BY user_id), w AS (base ORDER BY event_id)", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM events")
-_front("SQL8_set_order", "SELECT c_custkey AS k FROM customer WHERE c_custkey < 20 EXCEPT SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey > 12 ORDER BY k DESC LIMIT 9", "SELECT k FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey < 20 EXCEPT (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey > 12)) ORDER BY k DESC LIMIT 9")
+_front("SQL8_set_order", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey > 12 ORDER BY k DESC LIMIT 9", "SELECT k FROM (SELECT c_custkey AS k FROM customer EXCEPT (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey > 12)) ORDER BY k DESC LIMIT 9")
 _front("SQL9_recursive_union", "WITH RECURSIVE r (node) AS (SELECT 1 UNION SELECT (n_nationkey * 3 + 1) % 25 FROM r JOIN nation ON n_nationkey = node) SELECT node FROM r", "WITH RECURSIVE r AS (SELECT 1 AS node UNION SELECT (n_nationkey * 3 + 1) % 25 FROM r JOIN nation ON n_nationkey = node) SELECT node FROM r")
-_front("SQL10_functions", "SELECT o_orderkey, yearweek(o_orderdate) AS w, mid(o_orderpriority, 1, 3) AS m, to_days(o_orderdate) AS d, CAST(o_totalprice AS SIGNED) AS s FROM orders WHERE o_orderkey < 200", "SELECT o_orderkey, CAST(isoyear(o_orderdate) * 100 + weekofyear(o_orderdate) AS INTEGER) AS w, left(o_orderpriority, 3) AS m, CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 719528 AS INTEGER) AS d, CAST(trunc(o_totalprice) AS BIGINT) AS s FROM orders WHERE o_orderkey < 200")
+_front("SQL10_functions", "SELECT o_orderkey, yearweek(o_orderdate) AS w, mid(o_orderpriority, 1, 3) AS m, to_days(o_orderdate) AS d, CAST(o_totalprice AS SIGNED) AS s FROM orders", "SELECT o_orderkey, CAST(isoyear(o_orderdate) * 100 + weekofyear(o_orderdate) AS INTEGER) AS w, left(o_orderpriority, 3) AS m, CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 719528 AS INTEGER) AS d, CAST(trunc(o_totalprice) AS BIGINT) AS s FROM orders")

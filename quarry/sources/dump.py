@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..types import parse_type, sql_name
 
 #: Statements that set up a client and mean nothing here.
-IGNORED = re.compile(r"^\s*(?:SET|LOCK|UNLOCK|USE|START|COMMIT|BEGIN|DROP|ALTER\s+TABLE\s+\S+\s+(?:DISABLE|ENABLE))\b", re.I)
+IGNORED = re.compile(r"^\s*(?:SET|LOCK|UNLOCK|USE|START|COMMIT|BEGIN|DROP|CREATE\s+(?!TABLE)|ALTER\s+TABLE\s+\S+\s+(?:DISABLE|ENABLE))\b", re.I)
 CREATE = re.compile(r"^\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([`\"\w.]+)\s*\((.*)\)[^)]*$", re.I | re.S)
 INSERT = re.compile(r"^\s*INSERT\s+(?:IGNORE\s+)?INTO\s+([`\"\w.]+)\s*(?:\(([^)]*)\))?\s*VALUES\s*", re.I)
 
@@ -94,19 +94,31 @@ def _columns(body: str) -> list[tuple[str, T.DataType]]:
 
 
 def import_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a script.
+    """The tables of a script, in one file or many.
 
-    Files of one statement a line, as export_table() writes them, are read in
-    parallel by Spark; the INSERT statements are parsed in tasks, in batches.
-    Only CREATE TABLE statements come to the driver.
+    Files are read in parallel, in records that end with a semicolon at the
+    end of a line; a record may hold comments and several statements, of
+    several lines.  Only scripts with a DELIMITER are read as whole files, as
+    a semicolon ends nothing in them.  Text that belongs to no statement is an
+    error.  Only CREATE TABLE statements come to the driver.
     """
-    lines = spark.read.text(path)
-    heads = [r[0] for r in lines.where(F.col("value").rlike(r"(?i)^\s*CREATE\s+TABLE")).collect()]  # a row for each table
+    whole = spark.read.text(path).where(F.col("value").rlike(r"(?i)^\s*DELIMITER\s")).limit(1).collect()
+    records = spark.read.text(path, wholetext=True) if whole else spark.read.text(path, lineSep=";\n")
+
+    def known(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [(s, *_kind(s)) for record in b.column("value").to_pylist() for s in statements(record)]
+            yield pa.RecordBatch.from_pydict({"kind": [k for _, k, _ in found], "name": [n for _, _, n in found], "value": [s for s, _, _ in found]}, schema=pa.schema([("kind", pa.string()), ("name", pa.string()), ("value", pa.string())]))
+
+    parts = records.mapInArrow(known, "kind string, name string, value string")
+    heads = parts.where("kind = 'create'").select("value").collect()  # a row for each table
     out = {}
-    for head in heads:
-        m = CREATE.match(head.rstrip().rstrip(";"))
+    for (head,) in heads:
+        m = CREATE.match(head)
         name, columns = _name(m[1]), _columns(m[2])
-        inserts = lines.where(F.col("value").rlike(rf"(?i)^\s*INSERT\s+(IGNORE\s+)?INTO\s+[`\"]?{re.escape(name)}[`\"]?[\s(]"))
+        inserts = parts.where((F.col("kind") == "insert") & (F.col("name") == name)).select("value")
 
         def rows(batches, names=[c for c, _ in columns]):
             import pyarrow as pa
@@ -117,7 +129,7 @@ def import_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
                 for line in b.column("value").to_pylist():
                     m = INSERT.match(line)
                     order = [_name(x) for x in m[2].split(",")] if m[2] else names
-                    found += [dict(zip(order, r, strict=True)) for r in tuples(line[m.end() :].rstrip().rstrip(";"))]
+                    found += [dict(zip(order, r, strict=True)) for r in tuples(line[m.end() :])]
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
 
         raw = inserts.mapInArrow(rows, T.StructType([T.StructField(c, T.StringType()) for c, _ in columns]))
@@ -125,6 +137,19 @@ def import_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
+def _kind(statement: str) -> tuple[str, str | None]:
+    """What a statement of a script is: create or insert with the table's name, or one that a script may have and that means nothing here."""
+    if m := CREATE.match(statement):
+        return "create", _name(m[1])
+    if m := INSERT.match(statement):
+        if statement.count("'") % 2 and not statement.rstrip().endswith(")"):
+            raise ValueError(f"an INSERT isn't closed: {statement[:80]}")
+        return "insert", _name(m[1])
+    if IGNORED.match(statement):
+        return "other", None
+    raise ValueError(f"no statement of a script: {statement[:80]}")
+
+
 def read_script(spark: SparkSession, text: str) -> dict[str, DataFrame]:
     """The tables of a small script given as text."""
     kinds: dict[str, list[tuple[str, T.DataType]]] = {}
