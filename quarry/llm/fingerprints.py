@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from . import common as c
 
 SAMPLES = 128
-#: Words whose variates a task keeps, and words of documents that one step works on.
-CACHE_WORDS, STEP = 40_000, 8_192
+#: Words of documents that one step works on, and words whose variates are drawn at once.
+STEP, BLOCK = 32_768, 128
 
 _SALT = c.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * c.U64(0x9E3779B97F4A7C15))
 
@@ -64,61 +64,56 @@ def _packed(value: np.ndarray, words: np.ndarray, level: np.ndarray | None = Non
 
 
 class Sampler:
-    """Fingerprints texts; the variates of words seen lately are kept."""
+    """Fingerprints bags of words; the values of the words of the last step, with their counts, are kept."""
 
     def __init__(self) -> None:
-        self.hashes = np.empty(0, np.uint64)
-        self.rows = np.empty(0, np.int64)
-        self.once = np.empty((CACHE_WORDS, SAMPLES), np.uint64)
-        self.used = 0
-
-    def _known(self, words: np.ndarray) -> np.ndarray:
-        """Of some distinct sorted words, the rows of what wins if a word is there once."""
-        new = words[~c.member(self.hashes, words)]
-        if len(new):
-            if self.used + len(new) > CACHE_WORDS:
-                self.hashes, self.rows, self.used, new = self.hashes[:0], self.rows[:0], 0, words
-            r, logc, beta = variates(new)
-            # a word that is there once has level zero
-            self.once[self.used : self.used + len(new)] = _packed(logc - r * (1 - beta), new)
-            h, rows = np.concatenate([self.hashes, new]), np.concatenate([self.rows, np.arange(self.used, self.used + len(new))])
-            self.used += len(new)
-            order = np.argsort(h)
-            self.hashes, self.rows = h[order], rows[order]
-        return self.rows[np.searchsorted(self.hashes, words)]
+        self.keys = np.empty(0, np.uint64)
+        self.values = np.empty((0, SAMPLES), np.uint64)
+
+    def _values(self, keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of distinct sorted keys of words with their counts, the values; in blocks that stay in the processor's cache."""
+        out = np.empty((len(keys), SAMPLES), np.uint64)
+        old = c.member(self.keys, keys)
+        out[old] = self.values[np.searchsorted(self.keys, keys[old])]
+        new = np.flatnonzero(~old)
+        for some in (new[counts[new] == 1], new[counts[new] > 1]):
+            for s in range(0, len(some), BLOCK):
+                at = some[s : s + BLOCK]
+                r, logc, beta = variates(words[at])
+                if counts[at[0]] == 1:  # level zero
+                    out[at] = _packed(logc - r * (1 - beta), words[at])
+                else:
+                    level = np.floor(np.log(counts[at]).astype(np.float32)[:, None] / r + beta)
+                    out[at] = _packed(logc - r * (level - beta + 1), words[at], level)
+        self.keys, self.values = keys, out
+        return out
 
     def signatures(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Of bags of (distinct word hashes, counts), 16 bits for each sample; of an empty bag zeros."""
         best = np.full((len(bags), SAMPLES), np.iinfo(np.uint64).max, np.uint64)
-        some: list[int] = []
+        some: list[tuple[int, int, int]] = []
         size = 0
-        for i, (w, n) in enumerate(bags):
-            if some and size + len(w) > STEP:
-                self._lower(bags, some, best)
-                some, size = [], 0
-            if len(w) > STEP:
-                for s in range(0, len(w), STEP):
-                    self._lower([(w[s : s + STEP], n[s : s + STEP])], [0], best[i : i + 1])
-            elif len(w):
-                some.append(i)
-                size += len(w)
+        for i, (w, _) in enumerate(bags):
+            for s in range(0, len(w), STEP):
+                e = min(s + STEP, len(w))
+                if some and size + e - s > STEP:
+                    self._lower(bags, some, best)
+                    some, size = [], 0
+                some.append((i, s, e))
+                size += e - s
         if some:
             self._lower(bags, some, best)
         found = np.array([len(w) > 0 for w, _ in bags], bool)
         return np.where(found[:, None], (best >> c.U64(16)) & c.U64(0xFFFF), c.U64(0)).astype(np.uint16)
 
-    def _lower(self, bags: list[tuple[np.ndarray, np.ndarray]], some: list[int], best: np.ndarray) -> None:
-        w = np.concatenate([bags[i][0] for i in some])
-        n = np.concatenate([bags[i][1] for i in some])
-        distinct, which = np.unique(w, return_inverse=True)
-        value = self.once[self._known(distinct)[which]]
-        more = np.flatnonzero(n > 1)
-        if len(more):
-            r, logc, beta = variates(w[more])
-            level = np.floor(np.log(n[more]).astype(np.float32)[:, None] / r + beta)
-            value[more] = _packed(logc - r * (level - beta + 1), w[more], level)
-        size = [len(bags[i][0]) for i in some]
-        best[some] = np.minimum(best[some], np.minimum.reduceat(value, np.cumsum([0, *size[:-1]]), axis=0))
+    def _lower(self, bags: list[tuple[np.ndarray, np.ndarray]], some: list[tuple[int, int, int]], best: np.ndarray) -> None:
+        """Lowers the best values by those of some parts of bags."""
+        words, counts = (np.concatenate([bags[i][k][s:e] for i, s, e in some]) for k in (0, 1))
+        keys, first, which = np.unique(words ^ c.mix((counts - 1).astype(np.uint64)), return_index=True, return_inverse=True)
+        values, at = self._values(keys, words[first], counts[first]), 0
+        for i, s, e in some:
+            np.minimum(best[i], values[which[at : at + e - s]].min(0), out=best[i])
+            at += e - s
 
 
 def bags(batch: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
