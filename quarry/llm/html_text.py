@@ -6,9 +6,11 @@ that menus and link lists score low (Sun, Song and Liao, "DOM based content
 extraction via text density", SIGIR 2011).  A node's density sum adds up the
 densities of its children.  The node of greatest density is found; the least
 density on its path to the body is the threshold, and the subtree of greatest
-density sum among the nodes at or over it is the article.  Elements that can't
-be an article (menus, forms, scripts, notices, comments of readers, ...) go
-first, by their tags, roles and names.
+density sum among the blocks at or over it is the article, with the siblings
+that reach the threshold too.  Inside it, lists of links under the threshold
+go.  Before that, elements go that HTML itself calls no article (menus, forms,
+scripts, asides, ...), and containers named after prose that no density can
+tell from an article: adverts, notices, side columns, comments of readers.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,14 +34,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that hold no article text.
 DROPPED = frozenset("script style noscript template iframe nav footer aside form button input select option textarea svg canvas object embed video audio map dialog menu head title link meta noframes xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
-#: Whole parts of class and id names that mark what isn't the article.
-NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot banner banners sponsor sponsored promo promotion "
-    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs topbar toolbar masthead header footer foot sidebar sidebars aside rail widget widgets "
-    "comment comments commentlist respond disqus reply replies discussion "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations pagination pager tagcloud copyright legal disclaimer skip".split()
-)
+#: Whole parts of class and id names of containers whose prose is as dense as an article's.
+NAMES = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo banner comment comments commentlist respond disqus replies cookie cookies consent gdpr notice newsletter popup modal sidebar".split())
+#: Elements that say nothing themselves; only of these does a name decide.
+CONTAINERS = frozenset("div section ul ol dl table center ins".split())
 #: Beside these, a name says what surrounds an element, or that it lacks something.
 QUALIFIED = frozenset("has with no without".split())
 #: A start tag of the key closes an open element of the value.
@@ -57,7 +56,7 @@ CLOSES = {
 #: Elements beyond which an implied end doesn't reach.
 SCOPE = frozenset("html body table ul ol dl article section main aside nav div td th form blockquote header footer button".split())
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?:!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SPACE = re.compile(r"\s+")
@@ -85,20 +84,26 @@ def _unwanted(tag: str, attributes: str, depth_in_article: int) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id"):
+        if name in ("class", "id") and tag in CONTAINERS:
             for one in value.split():
                 parts = {p.lower() for p in PART.findall(one)}
-                if parts & NAMES - ({"header"} if depth_in_article else set()) and not parts & QUALIFIED:
+                if parts & NAMES and not parts & QUALIFIED:
                     return True
     return False
 
 
+@cache
+def _end_of(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 def parse(page: str) -> Node:
     """The tree of a page without what can't be article; children are nodes and texts."""
     root = Node("html", None)
     body = Node("body", root)
     root.children.append(body)
     here, at, skipped, inside = body, 0, [], 0
+    unclosed: set[str] = set()  # raw elements whose end doesn't come any more
 
     def text(raw: str) -> None:
         if raw and not skipped:
@@ -146,7 +151,9 @@ def parse(page: str) -> Node:
         if tag in ("html", "body", "head") and not (tag == "head"):
             continue
         if tag in RAW or tag == "script":
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            close = None if tag in unclosed else _end_of(tag).search(page, at)
+            if close is None:
+                unclosed.add(tag)
             at = close.end() if close else (n if tag in ("script", "style") else at)
             continue
         empty = tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path")
@@ -200,7 +207,7 @@ def _measure(root: Node) -> list[Node]:
 
 
 def main_node(root: Node) -> Node:
-    """The subtree of greatest density sum, under the threshold of the body path."""
+    """The subtree of greatest density sum, under the threshold of the body path; link lists in it are taken out."""
     order = _measure(root)
     body = root.children[0]
     ratio = body.link_chars / max(body.chars, 1)
@@ -212,30 +219,37 @@ def main_node(root: Node) -> Node:
         base = math.log(chars / plain * node.link_chars + ratio * chars + math.e)
         inner = chars / max(node.link_chars, 1) * tags / max(node.link_tags, 1)
         node.density = chars / tags * max(math.log(max(inner, 1.0)) / base, 0.0)
-    for node in order:
-        if node.parent is not None:
-            node.parent.total += node.density
-    best = max(order, key=lambda x: x.total)
-    # of the path from the densest node to the body, the least density
-    densest = max((x for x in order if x.chars and x.total), key=lambda x: x.density, default=best)
-    threshold, up = densest.density, densest
-    while up is not None and up is not root:
+    # blocks alone are nodes of the sum: what is inline belongs to its block, and a block of words to itself
+    blocks_ = [x for x in order if x is not root and x.tag not in INLINE]
+    for node in reversed(blocks_):
+        node.total = node.total or node.density
+        up = node.parent
+        while up is not root and up.tag in INLINE:
+            up = up.parent
+        up.total += node.density
+    # of the path from the block of greatest sum to the body, the least density
+    best = max(blocks_, key=lambda x: x.total, default=body)
+    threshold, up = best.density, best
+    while up is not root:
         threshold = min(threshold, up.density)
         up = up.parent
-    best = max((x for x in order if x is not root and x.density >= threshold), key=lambda x: x.total, default=body)
+    best = max((x for x in blocks_ if x.density >= threshold), key=lambda x: x.total, default=body)
     # a part of the text that is split over the subtree's siblings belongs to it
-    while best is not body and best.tag not in ("article", "main") and best.parent is not None:
-        if not any(isinstance(x, Node) and x is not best and x.density >= threshold and x.chars for x in best.parent.children):
-            break
+    while best is not body and any(isinstance(x, Node) and x is not best and x.chars and x.density >= threshold and x.tag not in INLINE for x in best.parent.children):
         best = best.parent
-    up = best
-    while up is not None and up is not body:
-        if up.tag in ("article", "main"):
-            return up
-        up = up.parent
+    _drop_links(best, threshold)
     return best
 
 
+def _drop_links(node: Node, threshold: float) -> None:
+    """Takes blocks under the threshold that are links for the most part, of two links or more, out of a subtree."""
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        x.children = [y for y in x.children if isinstance(y, str) or y.tag in INLINE or y.density >= threshold or y.link_tags < 2 or 2 * y.link_chars <= y.chars]
+        stack.extend(y for y in x.children if isinstance(y, Node))
+
+
 def blocks(node: Node) -> list[str]:
     """The blocks of text under a node in page order, white space made single, ends trimmed."""
     out: list[str] = []
@@ -275,9 +289,12 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """pages with ``text`` and ``n_chars`` (code points) of the article.
 
-    Null and empty pages have empty texts.  Rows are read on their own, so
-    ties and repeats don't matter.  All columns stay; the new ones get a
-    trailing underscore where pages has such a name already.
+    Null and empty pages have empty texts.  A page is read whole and in linear
+    time, however long, and its tree is all that a task holds beside a batch.
+    White space is what Unicode calls so, non-breaking spaces included.  Rows
+    are read on their own, so ties and repeated rows don't matter; an empty
+    table gives an empty one.  All columns stay; the new ones get a trailing
+    underscore where pages has such a name already.
     """
     c.small_batches(pages.sparkSession)
     text, size = c.fresh(pages, "text"), c.fresh(pages, "n_chars")
