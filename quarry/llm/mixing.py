@@ -125,7 +125,7 @@ class Plan:
 
 
 def _draws(docs: DataFrame, weights: tuple[float, ...], shards: int) -> tuple[DataFrame, dict[str, str]]:
-    """docs, the source's numbers, and for each row ``draws``: the shards of its copies."""
+    """docs, the source's numbers, and for each row ``draws``: of each copy the shard, its block's place among the source's draws in it, and their number, the quota."""
     spark = docs.sparkSession
     used = {n: c.fresh(docs, n) for n in ("size", "src", "source_size", "target", "block", "draws", "extra")}
     u = used
@@ -159,22 +159,25 @@ def _draws(docs: DataFrame, weights: tuple[float, ...], shards: int) -> tuple[Da
     # positions of the blocks that are drawn once more, in part too, come first; so a source's draws are numbered without gaps
     last = {r["src"]: r["at"] for r in ordered.where("part > 0").groupBy("src").agg(F.max("at").alias("at")).collect()}  # a row for each source
     quotas = np.array([f * b + last.get(i, -1) + 1 for i, (f, b) in enumerate(zip(plan.full, plan.blocks, strict=True))], np.int64)
-    ends = np.cumsum(split(quotas, shards), axis=0) if len(quotas) else np.zeros((shards, 0), np.int64)
+    given = split(quotas, shards) if len(quotas) else np.zeros((shards, 0), np.int64)
+    ends = np.cumsum(given, axis=0)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             src, at, part = (b.column(n).to_numpy() for n in ("src", "at", "part"))
-            shard = np.full((len(src), REPEATS), -1, np.int64)
+            shard, place = np.full((len(src), REPEATS), -1, np.int64), np.zeros((len(src), REPEATS), np.int64)
             for s in np.unique(src):
                 mine = np.flatnonzero(src == s)
                 for copy in range(REPEATS):
                     on = mine if copy < plan.full[s] else mine[part[mine] > 0] if copy == plan.full[s] else mine[:0]
                     x = permute(copy * plan.blocks[s] + at[on], int(quotas[s]), SEED + 2 * int(s) + 1)
-                    shard[on, copy] = np.searchsorted(ends[:, s], x, side="right")
-            lists = [[int(y) for y in x if y >= 0] for x in shard]
-            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("block"), b.column("part"), b.column("left"), pa.array(lists, pa.list_(pa.int32()))], names=["b_src", "b_block", "b_part", "b_left", "b_draws"])
+                    to = np.searchsorted(ends[:, s], x, side="right")
+                    shard[on, copy], place[on, copy] = to, x - ends[to, s] + given[to, s]
+            lists = [[{"shard": int(y), "place": int(z), "quota": int(given[y, s])} for y, z in zip(sh, pl, strict=True) if y >= 0] for s, sh, pl in zip(src, shard, place, strict=True)]
+            kind = pa.list_(pa.struct([("shard", pa.int32()), ("place", pa.int64()), ("quota", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("block"), b.column("part"), b.column("left"), pa.array(lists, kind)], names=["b_src", "b_block", "b_part", "b_left", "b_draws"])
 
-    dealt = ordered.select("src", "block", "part", "left", "at").mapInArrow(deal, "b_src int, b_block long, b_part int, b_left long, b_draws array<int>")
+    dealt = ordered.select("src", "block", "part", "left", "at").mapInArrow(deal, "b_src int, b_block long, b_part int, b_left long, b_draws array<struct<shard:int,place:bigint,quota:bigint>>")
     clash = {n: c.fresh(placed, n) for n in ("b_src", "b_block", "b_part", "b_left", "b_draws")}
     dealt = dealt.select(*[F.col(n).alias(m) for n, m in clash.items()])
     joined = placed.join(dealt, (F.col(u["src"]) == F.col(clash["b_src"])) & (F.col(u["block"]) == F.col(clash["b_block"])))
@@ -191,7 +194,7 @@ def _draws(docs: DataFrame, weights: tuple[float, ...], shards: int) -> tuple[Da
             else:
                 draws[i] = draws[i][:-1]
         at = group.schema.get_field_index(u["draws"])
-        return group.set_column(at, group.schema.field(at), pa.array(draws, pa.list_(pa.int32())))
+        return group.set_column(at, group.schema.field(at), pa.array(draws, group.schema.field(at).type))
 
     whole = joined.where(F.col(clash["b_part"]) != 2)
     some = joined.where(F.col(clash["b_part"]) == 2)
@@ -200,22 +203,31 @@ def _draws(docs: DataFrame, weights: tuple[float, ...], shards: int) -> tuple[Da
 
 
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int | None = None) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, taken, shards (one entry for each copy).
+    """One row for each document: doc_id, source, size, source_size, target, taken, and one entry for each copy in shards, places, quotas.
 
-    The texts are whole; null and empty ones have size 0.  A null source is a
-    source of its own, the last.  Repeated rows count each on their own.
-    Reruns over the same rows agree.  Other columns of docs aren't read.
+    A copy goes to the shard that the splitting tree gives its block's draw;
+    ``places`` is the draw's place among those of its source in the shard, and
+    ``quotas`` how many the tree put there, so every place is under its quota.
+
+    The texts are whole, however long; null and empty ones have size 0.  A null
+    source is a source of its own, the last.  Rows with equal ids, and repeated
+    rows, count each on their own; ties in size go by doc_id.  An empty table
+    gives an empty one.  Reruns over the same rows agree.  Other columns of
+    docs aren't read.
     """
     narrow = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
     out, u = _draws(narrow, weights, shards or c.width(docs))
-    return out.select("doc_id", "source", F.col(u["size"]).alias("size"), F.col(u["source_size"]).alias("source_size"), F.col(u["target"]).alias("target"), (F.col(u["size"]) * F.size(u["draws"])).alias("taken"), F.col(u["draws"]).alias("shards"))
+    return out.select("doc_id", "source", F.col(u["size"]).alias("size"), F.col(u["source_size"]).alias("source_size"), F.col(u["target"]).alias("target"), (F.col(u["size"]) * F.size(u["draws"])).alias("taken"), *[F.col(u["draws"])[k].alias(f"{k}s") for k in ("shard", "place", "quota")])
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int | None = None) -> DataFrame:
-    """The mixed corpus: docs' columns, each document as often as it is drawn, dealt to shards and shuffled within them."""
+    """The mixed corpus: docs' columns, each document as often as it is drawn, dealt to shards and shuffled within them.
+
+    Nulls, empty texts, ties, repeated rows and empty tables are as in plan_mix().
+    """
     n = shards or c.width(docs)
     out, u = _draws(docs, weights, n)
     shard, order = c.fresh(out, "shard"), c.fresh(out, "order")
-    copies = out.select("*", F.posexplode(u["draws"]).alias(order, shard))
+    copies = out.select("*", F.posexplode(F.col(u["draws"])["shard"]).alias(order, shard))
     shuffled = copies.repartition(n, shard).sortWithinPartitions(shard, F.xxhash64(F.lit(SEED), "doc_id", order))
     return shuffled.select(*docs.columns)

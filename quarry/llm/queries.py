@@ -30,7 +30,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan_mix(c.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.plan_mix(c.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards", "places", "quotas")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
