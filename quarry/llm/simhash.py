@@ -2,9 +2,9 @@
 
 Fingerprints: 64 bits by majority over the XXH64 of word shingles, repeats
 included.  Equal fingerprints are one node, whatever number of documents has
-them.  Two fingerprints within ``bits`` bits agree in at least three of five
-parts of their bits (for two bits); each of the ten triples of parts deals
-the nodes to groups.  In a group a table holds the distances of every node to
+them.  Two fingerprints within ``bits`` bits agree in at least two of
+``bits`` + 2 parts of their bits; each pair of parts (six, for two bits, of 32
+bits) deals the nodes to groups, as one table of all would be all pairs.  In a group a table holds the distances of every node to
 many reference fingerprints (pivots).  By the triangle inequality the
 distances of linked nodes to any pivot differ by no more than ``bits``: nodes
 are sorted by the first pivot, only neighbours in that order are considered,
@@ -165,8 +165,8 @@ def close_pairs(x: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def _parts(bits: int) -> list[int]:
-    """Masks of bits + 3 parts of the 64 bits."""
-    edges = np.linspace(0, 64, bits + 4).astype(int)
+    """Masks of bits + 2 parts of the 64 bits."""
+    edges = np.linspace(0, 64, bits + 3).astype(int)
     return [((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
@@ -229,13 +229,15 @@ def near_duplicates(docs: DataFrame, bits: int = 2, words: int = 3) -> DataFrame
     component_id is the smallest doc_id that links reach, itself included.
     Null and empty texts have fingerprint zero and link like any other.  A
     null doc_id keeps its row and gets the component of its links, or null.
-    Repeated rows stay.  Other columns of docs are not read.
+    Texts are read whole, however long.  Rows with equal ids, and repeated
+    rows, stay; an empty table gives an empty one.  Other columns of docs are
+    not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked, _ = with_fingerprints(docs, words)
     marked = c.written(marked.select("doc_id", "fp"), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    masks = [sum(x) for x in combinations(_parts(bits), 3)]
+    masks = [sum(x) for x in combinations(_parts(bits), 2)]
     keys = F.array(*[F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     dealt = nodes.select("fp", F.explode(keys).alias("k")).select("k.kind", "k.key", "fp")
     n = c.width(marked)
