@@ -13,8 +13,10 @@
 3. Blocks apply the answers to all occurrences.
 
 An anchor that very many blocks hold, so whose segments might not fit one
-shard, goes by single windows instead: one entry a block and window, dealt by
-the window's hash.  Both ways are exact up to 64-bit hashes.
+shard, is split by a longer context: of each of its windows, the run of 40
+bytes of least hash names the shard, and the segments are those of the
+windows that share it.  They go through the same interval tree.  All is exact
+up to 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,16 +33,15 @@ from . import common as c
 from . import recurring as r
 
 ANCHOR = 16
-#: An anchor that more blocks hold than this goes by single windows.
-HOT_BLOCKS = 256
+#: An anchor that more blocks hold than this is split by a context of DEEP bytes.
+HOT_BLOCKS, DEEP = 256, 40
 
 SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("segments", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
 SENT_DDL = "bucket int, block int, keys binary, segments binary, docs binary, sizes binary, bytes binary"
 ANSWER = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("spans", pa.binary())])
 ANSWER_DDL = "block int, keys binary, docs binary, counts binary, spans binary"
 NONE = np.iinfo(np.int64).max
-#: In an answer's counts: its key is a single window.
-WINDOW = -1
+_PLACE = c.U64((1 << 20) - 1)
 
 
 def _pieces(raw: list[bytes], window: int) -> Iterator[c.Piece]:
@@ -59,9 +60,22 @@ def _symbols(p: c.Piece) -> c.Piece:
     return q
 
 
-def _segment_keys(x: np.ndarray, h: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the segment [start, end) and of where the anchor is in it."""
-    return c.mix(c.spans_hash(x, start, end) ^ c.mix(h + (at - start).astype(np.uint64)))
+def _deeper(x: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows [first, last] split by the longer context: its hashes and places, and the first and last window of each part."""
+    h = c.grams(x, DEEP)
+    best = c.sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), window - DEEP + 1)
+    w, run = _ranges(first, last + 1), np.repeat(np.arange(len(first)), last + 1 - first)
+    at = (best[w] & _PLACE).astype(np.int64)
+    new = np.ones(len(w), bool)
+    new[1:] = (run[1:] != run[:-1]) | (at[1:] != at[:-1])
+    f = np.flatnonzero(new)
+    e = np.append(f[1:], len(w)) - 1
+    return h[at[f]], at[f], w[f], w[e]
+
+
+def _segment_keys(x: np.ndarray, h: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, deep: bool = False) -> np.ndarray:
+    """A hash of the segment [start, end) and of where the anchor is in it; odd for parts of a split anchor."""
+    return (c.mix(c.spans_hash(x, start, end) ^ c.mix(h + (at - start).astype(np.uint64))) & ~r.ONE) | c.U64(deep)
 
 
 def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +200,7 @@ def _resolve(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         one = order[new]  # the entry with the least doc
         low = doc[one]
         first, n = c.runs(key[one])
-        many = np.repeat(n > 1, n) & (size[one] > 0)
+        many = np.repeat(n > 1, n)
         which = np.flatnonzero(many)
         spans: dict[int, list[tuple[int, int]]] = {}
         # equal windows have equal anchors, so shards can be done in parts that keep an anchor together
@@ -210,7 +224,7 @@ def _resolve(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             rows["block"].append(int(owner[e[0]]))
             rows["keys"].append(seg[e].tobytes())
             rows["docs"].append(low[g].tobytes())
-            rows["counts"].append(np.where(size[e] > 0, np.array([len(x) for x in mine]), WINDOW).astype(np.int32).tobytes())
+            rows["counts"].append(np.array([len(x) for x in mine], np.int32).tobytes())
             rows["spans"].append(np.array([y for x in mine for y in x], np.int32).tobytes())
         yield pa.RecordBatch.from_pydict(rows, schema=ANSWER)
 
@@ -258,22 +272,19 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, hot_
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         doc = ids(left) if left.num_rows else np.empty(0, np.int64)
-        keys, segs, owners, at_piece, places = [], [], [], [], []
-        hot_keys, hot_docs, kept = [], [], []
-        for p, x, h, at, first, last, hot in prepared(left, right):
-            end = last + window
-            seg = _segment_keys(x, h, at, first, end)
-            cold = ~hot
-            keys.append(h[cold])
-            segs.append(seg[cold])
-            owners.append(doc[p.row[at[cold]]])
-            at_piece.append(np.full(int(cold.sum()), len(kept)))
-            places.append(np.stack([first[cold], end[cold]], 1))
-            kept.append(p.x)
+        keys, segs, owners, at_piece, places, kept = [], [], [], [], [], []
+        for p, x, *runs, hot in prepared(left, right):
+            parts = [(False, [v[~hot] for v in runs])]
             if hot.any():
-                w = _ranges(first[hot], last[hot] + 1)
-                hot_keys.append(c.grams(x, window)[w])
-                hot_docs.append(doc[p.row[w]])
+                parts.append((True, list(_deeper(x, runs[2][hot], runs[3][hot], window))))
+            for deep, (h, at, first, last) in parts:
+                end = last + window
+                keys.append(h)
+                segs.append(_segment_keys(x, h, at, first, end, deep))
+                owners.append(doc[p.row[at]])
+                at_piece.append(np.full(len(h), len(kept)))
+                places.append(np.stack([first, end], 1))
+            kept.append(p.x)
         rows: dict[str, list] = {x: [] for x in SENT.names}
         squeeze = zstandard.ZstdCompressor(level=3)
         if keys:
@@ -286,13 +297,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, hot_
                     e = one[order[lo:hi]]
                     size = (place[e, 1] - place[e, 0]).astype(np.int32)
                     _row(rows, b, which, k[e], s[e], low[order[lo:hi]], size, squeeze.compress(b"".join(kept[piece[i]][place[i, 0] : place[i, 1]].tobytes() for i in e)))
-            if hot_keys:
-                hk, hd = np.concatenate(hot_keys), np.concatenate(hot_docs)
-                one, low = _least(hk, hd)
-                order, cuts = c.dealt(hk[one], n)
-                for b, lo, hi in cuts:
-                    e = order[lo:hi]
-                    _row(rows, b, which, hk[one][e], hk[one][e], low[e], np.zeros(hi - lo, np.int32), b"")
         return pa.table(rows, schema=SENT)
 
     def final(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -304,34 +308,26 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, hot_
             low = np.concatenate([np.frombuffer(x, np.int64) for x in known_rows["docs"]])
             count = np.concatenate([np.frombuffer(x, np.int32) for x in known_rows["counts"]])
             spans = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in known_rows["spans"]])
-            single = np.flatnonzero(count == WINDOW)
-            single = single[np.argsort(key[single], kind="stable")]
-            order = np.flatnonzero(count != WINDOW)
-            order = order[np.argsort(key[order], kind="stable")]
-            sorted_key, single_key = key[order], key[single]
-            count = np.maximum(count, 0)
+            order = np.argsort(key, kind="stable")
+            sorted_key, split = key[order], bool((key & r.ONE).any())
             offset = np.cumsum(count) - count
             for p in _pieces(raw, window):
                 x, h, at, first, last = _marked(p, anchor, window)
-                seg = _segment_keys(x, h, at, first, last + window)
-                # segments, as a whole or in parts
-                hit = np.flatnonzero(c.member(sorted_key, seg))
-                e = order[np.searchsorted(sorted_key, seg[hit])]
-                rows = p.row[at[hit]]
-                whole = doc[rows] > low[e]
-                marks = [np.stack([first[hit][whole], last[hit][whole] + window], 1)]
-                some = np.flatnonzero(~whole & (count[e] > 0))
-                if len(some):
-                    which = _ranges(offset[e[some]], offset[e[some]] + count[e[some]])
-                    marks.append(spans[which] + np.repeat(first[hit][some], count[e[some]])[:, None])
-                # single windows
-                if len(single):
-                    w = np.flatnonzero(p.valid)
-                    g = c.grams(x, window)[w]
-                    at_key = c.member(single_key, g)
-                    w, g = w[at_key], g[at_key]
-                    w = w[doc[p.row[w]] > low[single[np.searchsorted(single_key, g)]]]
-                    marks.append(np.stack([w, w + window], 1))
+                marks = []
+                for deep in (False, True) if split else (False,):
+                    if deep:  # what isn't a segment may be an anchor that is split
+                        h, at, first, last = _deeper(x, first[~found], last[~found], window)
+                    seg = _segment_keys(x, h, at, first, last + window, deep)
+                    found = c.member(sorted_key, seg)
+                    hit = np.flatnonzero(found)
+                    e = order[np.searchsorted(sorted_key, seg[hit])]
+                    # segments, as a whole or in parts
+                    whole = doc[p.row[at[hit]]] > low[e]
+                    marks.append(np.stack([first[hit][whole], last[hit][whole] + window], 1))
+                    some = np.flatnonzero(~whole & (count[e] > 0))
+                    if len(some):
+                        which = _ranges(offset[e[some]], offset[e[some]] + count[e[some]])
+                        marks.append(spans[which] + np.repeat(first[hit][some], count[e[some]])[:, None])
                 for m in marks:
                     rows = p.row[m[:, 0]]
                     by = np.argsort(rows, kind="stable")
