@@ -38,10 +38,12 @@ def small_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A folder of our own is used only where the setting is missing, as in tests.
+    A folder of our own is used only where the setting is missing and all runs on one machine, as in tests.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: executors need a folder that they share")
         root = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"

@@ -165,6 +165,26 @@ def test_embeddings_with_a_common_direction(spark):
     assert got == dict(enumerate((link.sum(1) - 1).tolist()))
 
 
+def test_recall_on_spread_clusters(spark):
+    """Chains at 0.98 to 0.99, components over a block, several labels; nothing is a copy.  Brute force gives the links."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    vectors, labels = [], []
+    for label, (chains, length) in enumerate([(2, 400), (20, 40), (300, 3), (700, 1)]):
+        for _ in range(chains):
+            v = unit(rng.standard_normal(48))
+            for _ in range(length):
+                vectors.append(v)
+                labels.append(label % 3)
+                v = unit(v + rng.uniform(0.14, 0.2) * unit(rng.standard_normal(48)))
+    x, y = np.array(vectors), np.array(labels)
+    link = (x @ x.T >= 0.98) & (y[:, None] == y[None, :]) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = np.array([r.n_links for r in embeddings.near_duplicates(df).orderBy("vec_id").collect()])
+    assert (got <= link.sum(1)).all() and link.sum() > 2000
+    assert got.sum() >= 0.99 * link.sum()
+
+
 def test_nothing(spark, nothing):
     assert phrases.remove_repeats(nothing).count() == 0
     assert suffix_repeats.remove_repeats(nothing).count() == 0

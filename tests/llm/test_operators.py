@@ -1,6 +1,7 @@
 """The other corpus operators: brute force, round trips and held-out accuracy."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -35,6 +36,68 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+PROSE = "Words of an article stand here, one after another, and there are quite many of them. "
+
+
+def test_density_decides():
+    """Pages without an article element; link lists; names on prose; a switched-off density."""
+    menu = "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(9))
+    body = "".join(f"<p>{PROSE * 3}{i}</p>" for i in range(4))
+    want = " ".join(f"{PROSE * 3}{i}" for i in range(4))
+    page = f"<div><ul>{menu}</ul></div><div>{body}</div><div><p>Short line</p></div>"
+    assert html_text.main_text(page) == want
+    inner = f"<div><div>{body}<ul>{menu}</ul></div></div><table><tr><td>x</table>"
+    assert html_text.main_text(inner) == want
+    sections = f"<div><section>{body}</section><section>{body}</section></div><div><a href=/a>a</a> <a href=/b>b</a></div>"
+    assert html_text.main_text(sections) == f"{want} {want}"
+    kept = f"<article><h2 class='related-work'>Related work</h2><p class='legal'>{PROSE}</p><p id='notice'>{PROSE}</p></article>"
+    assert html_text.main_text(kept) == f"Related work {PROSE}{PROSE}".strip()
+    comments = f"<div><div>{body}</div><div id='comments'>{body * 5}</div></div>"
+    assert html_text.main_text(comments) == want
+    root = html_text.parse(page)
+    assert " ".join(html_text.blocks(root)) != want and html_text.main_node(root).tag == "div"
+
+
+def test_comments_and_raw_text():
+    assert html_text.main_text("<!-->text") == html_text.main_text("<!--->text") == "text"
+    assert html_text.main_text("<p>a<!-- > b -->c</p>") == "ac"
+    start = time.time()
+    html_text.main_text("<textarea>" * 20_000)
+    assert time.time() - start < 2
+
+
+def test_html_query_against_another_parser(spark):
+    """On pages with an article element: what html.parser finds in it."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag in ("article", "h1", "p", "br"):
+                self.blocks.append([]) if tag != "br" else self.blocks[-1].append("")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1].append(data)
+
+    folder = "/root/testdata/sf0.001"
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op1_html_extraction(spark, folder).collect()}
+    rows = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    assert len(got) == len(rows)
+    squeeze = lambda x: "".join(x.split())
+    for r in rows:
+        reader = Reader()
+        reader.feed(r.html)
+        assert squeeze(got[r.page_id][0]) == squeeze("".join("".join(b) for b in reader.blocks)) and got[r.page_id][1] == len(got[r.page_id][0])
+
+
 def test_toxicity(spark, docs, nothing, labels):
     word = {0: "fine plain words", 1: "you total idiot"}
     rows = [(i, f"text {i * 7919 % 101} {i % 13} {word[i % 2]} more {i % 17}", i % 2) for i in range(400)]
@@ -86,6 +149,11 @@ def test_mix(docs, corpus, nothing):
         assert {r.source_size for r in rows} == {sum(r["size"] for r in rows)}
         assert abs(sum(r.taken for r in rows) - want[s]) <= 0.05 * want[s] + 1
     assert all(r.taken <= 3 * r["size"] and r.taken == r["size"] * len(r.shards) for r in got)
+    shards = Counter()
+    for r in got:
+        assert len(r.shards) == len(r.places) == len(r.quotas) and all(0 <= p < q for p, q in zip(r.places, r.quotas, strict=True))
+        shards.update((r.source, s, q) for s, q in set(zip(r.shards, r.quotas, strict=True)))
+    assert len({k[:2] for k in shards}) == len(shards)  # one quota for each source and shard
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(len(r.shards) for r in got)
     assert mixing.plan_mix(docs).exceptAll(mixing.plan_mix(docs)).count() == 0
