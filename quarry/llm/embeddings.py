@@ -198,8 +198,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, passes: int = PASSE
     double precision.  Null, empty or zero vectors, and those with null or
     non-finite components, link with nothing: no links, their own id, kept.
     Vectors of unequal length compare as if padded with zeros.  Repeated rows
-    link with each other.  A null vec_id keeps its row and links, but names no
-    component.  Other columns are not read.
+    link with each other, and so do rows with equal ids.  A null vec_id keeps
+    its row and links, but names no component.  Of ties nothing depends.  An
+    empty table gives an empty one.  Other columns are not read.
+
+    Inside a component all pairs are compared, in squares of two blocks, as
+    exact counts of links need it: a component of m different vectors costs
+    m * m / 2 comparisons and sends each vector m / ``block`` times.
     """
     spark = vectors.sparkSession
     c.small_batches(spark)

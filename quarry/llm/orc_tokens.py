@@ -163,7 +163,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 1) -> No
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids of the files of write_tokens()."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids of the files of write_tokens().
+
+    Null ids, repeated rows and rows with equal ids come back as they were
+    written, one row each; files of an empty table give an empty one.
+    """
     files = spark.read.schema(DDL).orc(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each file
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
@@ -172,12 +176,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """The rows of some documents; files and stripes without them are skipped by their statistics and Bloom filters."""
+    """The rows of some documents; files and stripes without them are skipped by their statistics and Bloom filters.
+
+    All rows of an id come, also where it is repeated; an id that isn't there
+    gives none, and null ids can't be asked for.
+    """
     return read_tokens(spark, path).where(F.col("doc_id").isin(doc_ids))
 
 
 def digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of read_tokens(), from the ids themselves."""
+    """doc_id, start, n_tokens and ids_crc32 of read_tokens(), from the ids themselves; a row for each row, null ids and repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,7 +7,8 @@
    that start in two places are confirmed; runs of them are passages.
 3. Each block compiles its passages into Aho-Corasick automata, sharded to a
    bounded size, and streams all its documents through each: every occurrence
-   of a passage is found by exact comparison, and its words are removed.
+   of a passage is found by exact comparison, and its words are removed.  A
+   very long passage goes in as parts that share a window less one word.
 
 A frequent phrase is one entry a block in each count, whatever its copies.
 Hashes have 63 bits: the chance that a given window is taken for a repeat by
@@ -28,8 +29,8 @@ from . import common as c
 from . import recurring as r
 
 ANCHOR = 8
-#: Characters of the passages in one automaton.
-SHARD_CHARS = 2_000_000
+#: Characters of the passages in one automaton, about, and windows in one passage: longer ones are cut into parts that overlap.
+SHARD_CHARS, LONG = 2_000_000, 4096
 
 
 def _pieces(batch: list[bytes], window: int) -> Iterator[c.Piece]:
@@ -161,7 +162,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, anchor: int = ANCHOR) -> D
                 a = np.concatenate(at)
                 s = a[np.append(True, a[1:] != a[:-1] + 1)]
                 e = a[np.append(a[1:] != a[:-1] + 1, True)] + window
-                passages.update(f" {b' '.join(w[i:j]).decode()} " for i, j in zip(s, e, strict=True))
+                for i, j in zip(s.tolist(), e.tolist(), strict=True):
+                    passages.update(f" {b' '.join(w[k : min(k + LONG + window - 1, j)]).decode()} " for k in range(i, j - window + 1, LONG))
         framed = [f" {b' '.join(w).decode()} " for w in split]
         marks = covered_words(framed, sorted(passages)) if passages else [np.empty((0, 2), np.int64)] * len(raw)
         text, n_removed, spans = [], [], []

@@ -21,10 +21,10 @@ from . import common as c
 
 #: Feature hashes.
 DIM = 1 << 20
-#: Labelled rows that the model is fitted on, of each label, at most.  Which: the least by crc32 of the id.
-MOST = {1: 4000, 0: 8000}
+#: Labelled rows that the model is fitted on, at most, toxic and other ones.  Which: the least by crc32 of the id.
+MOST = (4000, 8000)
 EPOCHS = 8
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.01
+ALPHA, BETA, L1, L2, BALANCE = 1.0, 1.0, 16.0, 0.01, 1.0
 
 _CLEAN = np.full(256, 32, np.uint8)
 _CLEAN[128:] = np.arange(128, 256)
@@ -46,8 +46,15 @@ def _sigmoid(x: float) -> float:
     return 1.0 / (1.0 + float(np.exp(-np.clip(x, -35.0, 35.0))))
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and weights that aren't zero; number DIM is the intercept."""
+def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, balance: float = BALANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and weights that aren't zero; number DIM is the intercept.
+
+    Rows of the rarer label weigh more, by the power ``balance`` of how much
+    rarer they are, so that few of them aren't outvoted.
+    """
+    ones = sum(y for _, y in rows)
+    heavy = max(len(rows) - ones, 1) / max(ones, 1)
+    weight = {1: max(heavy, 1.0) ** balance, 0: max(1 / heavy, 1.0) ** balance}
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
@@ -59,7 +66,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.n
             i = np.append(f, DIM)
             zi, ni = z[i], n[i]
             w = weights(zi, ni)
-            g = _sigmoid(w.sum()) - y
+            g = weight[y] * (_sigmoid(w.sum()) - y)
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
             z[i] = zi + g - sigma * w
             n[i] = ni + g * g
@@ -81,16 +88,16 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and weights, learned from labelled rows that aren't held out.
 
     Null labels don't count; of several labels of an id the largest does.  The
-    sample is bounded by MOST, so one task fits it and the driver gets the
-    weights that aren't zero.
+    sample is bounded by ``most`` rows of label 1 and label 0, so one task fits
+    it and the driver gets the weights that aren't zero.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     order = [F.crc32(F.col("doc_id").cast("string")), F.col("doc_id")]
-    sample = marked.where("label = 1").orderBy(*order).limit(MOST[1]).unionByName(marked.where("label = 0").orderBy(*order).limit(MOST[0]))
+    sample = marked.where("label = 1").orderBy(*order).limit(most[0]).unionByName(marked.where("label = 0").orderBy(*order).limit(most[1]))
     texts = docs.select(F.col("doc_id").alias("own_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), F.col("own_id") == F.col("doc_id")).select("doc_id", "text", "label")
     one = rows.repartition(1).sortWithinPartitions(F.crc32(F.concat_ws("-", F.lit("order"), F.col("doc_id").cast("string"))), "doc_id", "text")
@@ -98,16 +105,19 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["at"].to_numpy(), found["w"].to_numpy()
 
 
-def score(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = None, most: tuple[int, int] = MOST) -> DataFrame:
     """docs with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from 0.5).
 
-    The whole text is read.  Null and empty texts have no features and get the
-    score of the intercept; without any labelled row all scores are 0.  All
-    columns and rows stay; the new columns get a trailing underscore where
-    docs has such a name already.
+    The whole text is read, however long.  Null and empty texts have no
+    features and get the score of the intercept; without any labelled row all
+    scores are 0.  Equal texts have equal scores, a score of exactly 0.5
+    predicts 1, repeated rows stay, and an empty table gives an empty one.  A
+    null doc_id is scored and never learned from.  All columns and rows stay;
+    the new columns get a trailing underscore where docs has such a name
+    already.  ``most`` bounds the labelled rows that the model is fitted on.
     """
     c.small_batches(docs.sparkSession)
-    at, w = train(docs if train_on is None else train_on, labels)
+    at, w = train(docs if train_on is None else train_on, labels, most)
     dense = docs.sparkSession.sparkContext.broadcast((at, w))
     name, predicted = c.fresh(docs, "score"), c.fresh(docs, "predicted")
 
@@ -123,7 +133,10 @@ def score(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = None)
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that score() predicts to be toxic; the same columns."""
+    """docs without the rows that score() predicts to be toxic; the same columns.
+
+    Nulls, empty texts, repeated rows and empty tables are as in score().
+    """
     scored = score(docs, labels)
     predicted = scored.columns[-1]
     return scored.where(F.col(predicted) == 0).select(*docs.columns)

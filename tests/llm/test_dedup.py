@@ -18,7 +18,9 @@ def raw(corpus):
     return [(r[0], (r[1] or "").encode()) for r in corpus]
 
 
-def test_phrases(spark, docs, corpus):
+@pytest.mark.parametrize("long", [4096, 7])
+def test_phrases(spark, docs, corpus, monkeypatch, long):
+    monkeypatch.setattr(phrases, "LONG", long)
     out = phrases.remove_repeats(docs)
     assert "block" in out.columns and out.where("block <> 'mine'").count() == 0
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect())

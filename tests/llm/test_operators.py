@@ -186,6 +186,84 @@ def test_sampling_estimates_generalised_jaccard():
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.07
 
 
+def test_sampler_against_exact_variates():
+    """Ioffe's sampling with gamma and uniform variates of numpy, without tables: the same mean likeness as the sampler."""
+    rng = np.random.default_rng(9)
+    got, want, true = [], [], []
+    for k in range(30):
+        a, b = (rng.integers(0, 6, 80) for _ in range(2))
+        true.append(np.minimum(a, b).sum() / np.maximum(a, b).sum())
+        words = np.array([zlib.crc32(f"{k}-{i}".encode()) for i in range(80)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.argsort(words)
+        s = fingerprints.Sampler().signatures([(words[order][x[order] > 0], x[order][x[order] > 0]) for x in (a, b)])
+        got.append(fingerprints.likeness(s[0], s[1]))
+        r, logc, beta = rng.gamma(2, 1, (80, 512)), np.log(rng.gamma(2, 1, (80, 512))), rng.random((80, 512))
+
+        def keep(x, r=r, logc=logc, beta=beta):
+            level = np.floor(np.log(np.maximum(x, 1))[:, None] / r + beta)
+            value = np.where(x[:, None] > 0, logc - r * (level - beta + 1), np.inf)
+            best = value.argmin(0)
+            return best, level[best, np.arange(512)]
+
+        (wa, la), (wb, lb) = keep(a), keep(b)
+        want.append(np.mean((wa == wb) & (la == lb)))
+    assert abs(np.mean(got) - np.mean(want)) < 0.02 and abs(np.mean(want) - np.mean(true)) < 0.01 and abs(np.mean(got) - np.mean(true)) < 0.02
+
+
+def test_fingerprints_are_recomputed(docs, corpus):
+    """fingerprint and likenesses of compare_neighbours(), from single texts."""
+    one = lambda x: fingerprints.Sampler().signatures(fingerprints.bags([x.encode()]))[0]
+    got = {r.doc_id: r for r in fingerprints.compare_neighbours(docs.where("doc_id >= 100 or doc_id = 11")).collect()}
+    rows = sorted((r[0], r[1] or "") for r in corpus if r[0] is not None and (r[0] >= 100 or r[0] == 11))
+    for (i, x), (_, y) in zip(rows, rows[1:] + rows[:1], strict=True):
+        e = fingerprints.edited(x, y)
+        assert got[i].fingerprint == one(x).astype(">u2").tobytes().hex() and got[i].edited_fingerprint == one(e).astype(">u2").tobytes().hex()
+        assert got[i].near_edited == fingerprints.likeness(one(x), one(e)) and got[i].near_next == fingerprints.likeness(one(x), one(y))
+
+
+def test_ftrl_against_a_plain_loop():
+    """The same steps, a coordinate at a time."""
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 40, 6)).astype(np.int32), int(y)) for y in rng.integers(0, 2, 60)]
+    ones = sum(y for _, y in rows)
+    weight = {1: max((60 - ones) / ones, 1) ** toxicity.BALANCE, 0: max(ones / (60 - ones), 1) ** toxicity.BALANCE}
+    z, n, last = Counter(), Counter(), toxicity.DIM
+
+    def w(i):
+        return 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - np.sign(z[i]) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(20):
+        for f, y in rows:
+            on = [*f.tolist(), last]
+            g = weight[y] * (1 / (1 + np.exp(-sum(w(i) for i in on))) - y)
+            for i, old in [(i, w(i)) for i in on]:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * old
+                n[i] += g * g
+    at, got = toxicity.ftrl(rows, epochs=20)
+    assert dict(zip(at.tolist(), got.tolist(), strict=True)) == pytest.approx({i: w(i) for i in [*range(40), last] if w(i)})
+
+
+def test_orc_layout(spark, tmp_path):
+    """Files with run-length integers, row indexes and Bloom filters; a lookup of an id reads few rows."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('some words and number ', id) as text")
+    path = f"file://{tmp_path}/t"
+    orc_tokens.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), path)
+    jvm = spark._jvm
+    conf, found = jvm.org.apache.hadoop.conf.Configuration(), []
+    for f in sorted(tmp_path.glob("t/*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            found += [footer.getStreams(i).getKind().toString() for i in range(footer.getStreamsCount())]
+            found += [footer.getColumns(i).getKind().toString() for i in range(footer.getColumnsCount())]
+        rows.close()
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8", "DIRECT_V2"} <= set(found)
+    out = orc_tokens.lookup(spark, path, [17])
+    assert out.count() == 1 and "doc_id" in out._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1][:80]
+
+
 def test_orc(spark, docs, corpus, nothing, tmp_path):
     path, tokenizer = f"file://{tmp_path}/t", public_tokenizers.path("word_bpe_49k.json")
     orc_tokens.write_tokens(docs, tokenizer, path)
