@@ -56,6 +56,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no plan reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+        for folder in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
+            at = path(folder)
+            if at.getName().startswith("quarry-"):
+                at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that no column of df has."""
     have, name = {c.lower() for c in df.columns}, base

@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = c.written(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = c.written(small, "edges")
+        old, now = now, c.written(small, "edges")
+        c.forget(old, large)
         after = _state(now)
         if after == before:
             break
