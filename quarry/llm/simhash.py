@@ -33,6 +33,8 @@ PIVOTS = 16
 PIVOT_BITS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
 #: Pairs that one comparison step holds.
 STEP = 1 << 20
+#: Nodes of a group that near_tree compares with each other.
+BLOCK = 256
 
 # Fixed values of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -114,8 +116,12 @@ def _fingerprints(batch: list[bytes], words: int) -> np.ndarray:
     shingles = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
     a = np.repeat(first - np.cumsum(shingles) + shingles, shingles) + np.arange(shingles.sum())
     b = np.minimum(a + words - 1, np.repeat(first + count - 1, shingles))
-    h = xxh64(buf, start[a], end[b])
-    total = np.zeros(len(batch) * 64, np.int64).reshape(len(batch), 64)
+    return majority(xxh64(buf, start[a], end[b]), shingles)
+
+
+def majority(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text, of which ``shingles`` says how many of the hashes are its own; zero if none."""
+    total = np.zeros((len(shingles), 64), np.int64)
     some = np.flatnonzero(shingles)
     edge = (np.cumsum(shingles) - shingles)[some]
     step = 1 << 14
@@ -129,14 +135,14 @@ def _fingerprints(batch: list[bytes], words: int) -> np.ndarray:
     return np.packbits(set_, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def distances(x: np.ndarray) -> np.ndarray:
+def distances(x: np.ndarray, pivots: np.ndarray = PIVOT_BITS) -> np.ndarray:
     """The pivot distance table of some fingerprints."""
-    return np.bitwise_count(x[:, None] ^ PIVOT_BITS[None, :]).astype(np.int8)
+    return np.bitwise_count(x[:, None] ^ pivots[None, :]).astype(np.int8)
 
 
-def close_pairs(x: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(x: np.ndarray, bits: int, pivots: np.ndarray = PIVOT_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of fingerprints that differ in at most ``bits`` bits, in steps of bounded size."""
-    table = distances(x)
+    table = distances(x, pivots)
     order = np.lexsort((table[:, 1], table[:, 0]))
     table, y = table[order], x[order]
     lead = table[:, 0].astype(np.int64) * 128 + table[:, 1]
@@ -156,7 +162,7 @@ def close_pairs(x: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarr
             if m.sum():
                 i = np.repeat(np.arange(done, to), m)
                 j = np.repeat(low[done:to] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                for col in range(2, PIVOTS):
+                for col in range(2, table.shape[1]):
                     keep = np.abs(table[i, col] - table[j, col]) <= bits
                     i, j = i[keep], j[keep]
                 keep = np.bitwise_count(y[i] ^ y[j]) <= bits
@@ -164,6 +170,65 @@ def close_pairs(x: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarr
             done = to
 
 
+def leaders(x: np.ndarray, bits: int) -> np.ndarray:
+    """At most PIVOTS of the fingerprints, each over ``bits`` from those before it: pivots for a radius at which all are about as far from a random one."""
+    found, far = [], np.full(len(x), 65)
+    while len(found) < PIVOTS and (far > bits).any():
+        found.append(x[np.argmax(far > bits)])
+        far = np.minimum(far, np.bitwise_count(x ^ found[-1]))
+    return np.array(found, np.uint64)
+
+
+def near_tree(node: np.ndarray, x: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Pairs of nodes within ``bits`` bits, the closest first, that join all nodes which such pairs join.
+
+    Over BLOCK nodes are dealt to the nearest of their leaders and compared in
+    blocks of like distance from it, each with the leader: linear in the number
+    of nodes, and pairs between blocks don't come.
+    Equal distances go by the nodes, so that groups with the same nodes give the same pairs.
+    """
+    pivots = leaders(x, bits)
+    if len(x) <= BLOCK:
+        blocks = [np.arange(len(x))]
+    else:
+        table = distances(x, pivots)
+        own = table.argmin(1)
+        blocks = []
+        for k in range(len(pivots)):
+            cell = np.flatnonzero(own == k)
+            cell = cell[np.lexsort((node[cell], table[cell, k]))]
+            blocks += [np.append(cell[0], cell[s : s + BLOCK]) for s in range(1, len(cell), BLOCK)]
+    pivots = np.append(pivots, PIVOT_BITS)[:PIVOTS]
+    out = []
+    for at in blocks:
+        pairs = [p for p in close_pairs(x[at], bits, pivots) if len(p[0])]
+        if not pairs:
+            continue
+        i, j = (np.concatenate(v) for v in zip(*pairs, strict=True))
+        a, b = np.minimum(node[at[i]], node[at[j]]), np.maximum(node[at[i]], node[at[j]])
+        order = np.lexsort((b, a, np.bitwise_count(x[at[i]] ^ x[at[j]])))
+        out += tree(len(at), i[order], j[order], a[order], b[order])
+    return out
+
+
+def tree(n: int, i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs (a, b) between items i and j of n, in their order, those that join what pairs before them didn't."""
+    up, out = list(range(n)), []
+    for p, q, v, w in zip(i.tolist(), j.tolist(), a.tolist(), b.tolist(), strict=True):
+        while up[p] != p:
+            up[p] = up[up[p]]
+            p = up[p]
+        while up[q] != q:
+            up[q] = up[up[q]]
+            q = up[q]
+        if p != q:
+            up[p] = q
+            out.append((v, w))
+            if len(out) == n - 1:
+                break
+    return out
+
+
 def _parts(bits: int) -> list[int]:
     """Masks of bits + 2 parts of the 64 bits."""
     edges = np.linspace(0, 64, bits + 3).astype(int)
