@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -269,12 +270,12 @@ def update(table: Table, assign: dict[str, str], where: str | None = None, sourc
     if source is not None or limit is not None:
         table = _fixed(table)
     rows = table.rows.alias(table.name)
-    hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
+    condition = F.expr(where) if where else F.lit(True)
     if source is None and limit is None:
-        done = rows.withColumn("__hit", hit)
+        done = rows.withColumn("__hit", F.coalesce(condition, F.lit(False)))
         done = done.select(ROW, "__hit", *[F.when(F.col("__hit"), F.expr(assign[f.name])).otherwise(F.col(f"`{f.name}`")).cast(f.kind).alias(f.name) if f.name in assign else F.col(f"`{f.name}`") for f in table.fields])
     else:
-        chosen = _chosen(rows, hit, source, order, limit, {c: F.expr(e) for c, e in assign.items()})
+        chosen = _chosen(rows, condition, source, order, limit, {c: F.expr(e) for c, e in assign.items()})
         done = table.rows.join(chosen, ROW, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
         done = done.select(ROW, "__hit", *[F.when(F.col("__hit"), F.col(f"__v_{f.name}")).otherwise(F.col(f"`{f.name}`")).cast(f.kind).alias(f.name) if f.name in assign else F.col(f"`{f.name}`") for f in table.fields])
     done = cut(done)
@@ -288,17 +289,32 @@ def _fixed(table: Table) -> Table:
     return table.with_rows(table.rows) if table.wrapped else table
 
 
-def _chosen(rows: DataFrame, hit: Column, source: DataFrame | None, order: list[str] | None, limit: int | None, values: dict[str, Column]) -> DataFrame:
-    found = rows.join(source, hit) if source is not None else rows.where(hit)
-    found = found.select(F.col(ROW), *[v.alias(f"__v_{c}") for c, v in values.items()], *[F.expr(re.sub(r"(?i)\s+(asc|desc)$", "", o)).alias(f"__o{i}") for i, o in enumerate(order or [])])
-    if source is not None:
-        found = found.dropDuplicates([ROW])
+def _chosen(rows: DataFrame, condition: Column, source: DataFrame | None, order: list[str] | None, limit: int | None, values: dict[str, Column]) -> DataFrame:
+    """The row numbers that a statement hits, with the new values.
+
+    The condition stays as it was given, so Spark finds the equal keys of a join in it; null hits nothing anyway.
+    If no value needs the source, a semi join finds each row once; else of a row's matches one is kept.
+    """
+    wanted = [F.col(ROW), *[v.alias(f"__v_{c}") for c, v in values.items()], *[F.expr(re.sub(r"(?i)\s+(asc|desc)$", "", o)).alias(f"__o{i}") for i, o in enumerate(order or [])]]
+    if source is None:
+        found = rows.where(condition).select(*wanted)
+    else:
+        found = rows.join(source, condition).select(*wanted)
+        found = rows.join(source, condition, "left_semi").select(*wanted) if _resolved(rows, wanted) else found.dropDuplicates([ROW])
     if limit is not None:
         keys = [F.desc(f"__o{i}") if re.search(r"(?i)\sdesc$", o) else F.asc(f"__o{i}") for i, o in enumerate(order or [])]
         found = found.orderBy(*keys, ROW).limit(limit)
     return found.select(ROW, F.lit(True).alias("__hit"), *[f"__v_{c}" for c in values])
 
 
+def _resolved(rows: DataFrame, columns: list[Column]) -> bool:
+    """Whether expressions need no columns but these rows' own."""
+    try:
+        return bool(rows.select(*columns).columns)
+    except AnalysisException:
+        return False
+
+
 def delete(table: Table, where: str | None = None, source: DataFrame | None = None, order: list[str] | None = None, limit: int | None = None) -> Change:
     if source is not None or limit is not None:
         table = _fixed(table)

@@ -48,6 +48,40 @@ def test_rows_that_are_computed_anew_are_hit_once(spark):
     assert got == {k: int(k < 50) for k in range(400)}
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """The plans of what statements write."""
+    plans, cut = [], tables.cut
+    monkeypatch.setattr(tables, "cut", lambda df, *more: plans.append(plan(df)) or cut(df, *more))
+    return plans
+
+
+def matched(spark):
+    e = Engine(spark)
+    e.register("s", spark.createDataFrame([(1, 5), (1, 7), (2, None), (3, 1), (None, 9)], "k int, w int"))
+    e.sql("CREATE TABLE t (k INT, v VARCHAR(8)); INSERT INTO t VALUES (1, 'a'), (1, 'b'), (2, 'c'), (3, 'd'), (4, 'e'), (NULL, 'f')")
+    return e
+
+
+@pytest.mark.parametrize("value", ["'x'", "concat(t.v, '!')", "CAST(s.w AS STRING)"])
+@pytest.mark.parametrize("form", ["UPDATE t SET v = {} FROM s WHERE t.k = s.k AND s.w > 3", "UPDATE t JOIN s ON t.k = s.k SET v = {} WHERE s.w > 3"])
+def test_update_from_joins_by_its_keys(spark, written, form, value):
+    e = matched(spark)
+    del written[:]
+    assert e.execute(form.format(value)) == 2
+    assert not any("NestedLoop" in p or "Cartesian" in p for p in written)
+    got = sorted(map(str, (r.v for r in e.sql("SELECT v FROM t").collect())))
+    hits = {"'x'": [["x", "x"]], "concat(t.v, '!')": [["a!", "b!"]]}.get(value, [[a, b] for a in "57" for b in "57"])
+    assert got in [sorted([*"cdef", *h]) for h in hits]
+
+
+def test_update_from_without_equal_keys(spark):
+    e = matched(spark)
+    assert e.execute("UPDATE t SET v = 'x' FROM s WHERE t.k < s.w") == 5
+    assert e.execute("UPDATE t SET v = 'y' FROM s WHERE t.k = s.k ORDER BY t.k DESC LIMIT 2") == 2
+    assert sorted((str(r.k), r.v) for r in e.sql("SELECT * FROM t").collect()) == [("1", "x"), ("1", "x"), ("2", "y"), ("3", "y"), ("4", "x"), ("None", "f")]
+
+
 @pytest.mark.parametrize("ties", [None, ["v"]])
 def test_percent_has_no_top_k(spark, ties):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("v")).repartition(5)
