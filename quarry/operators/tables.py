@@ -319,11 +319,11 @@ def delete(table: Table, where: str | None = None, source: DataFrame | None = No
     if source is not None or limit is not None:
         table = _fixed(table)
     rows = table.rows.alias(table.name)
-    hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
+    condition = F.expr(where) if where else F.lit(True)
     if source is None and limit is None:
-        done = cut(rows.withColumn("__hit", hit))
+        done = cut(rows.withColumn("__hit", F.coalesce(condition, F.lit(False))))
     else:
-        chosen = _chosen(rows, hit, source, order, limit, {})
+        chosen = _chosen(rows, condition, source, order, limit, {})
         done = cut(table.rows.join(chosen, ROW, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False))))
     return Change(table.with_stored(done.where("not __hit")), done.where("__hit").select(*table.columns))
 

@@ -82,6 +82,17 @@ def test_update_from_without_equal_keys(spark):
     assert sorted((str(r.k), r.v) for r in e.sql("SELECT * FROM t").collect()) == [("1", "x"), ("1", "x"), ("2", "y"), ("3", "y"), ("4", "x"), ("None", "f")]
 
 
+def test_delete_using_joins_by_its_keys(spark, written):
+    e = matched(spark)
+    del written[:]
+    assert e.execute("DELETE FROM t USING s WHERE t.k = s.k AND s.w > 3") == 2
+    assert not any("NestedLoop" in p or "Cartesian" in p for p in written)
+    assert sorted(r.v for r in e.sql("SELECT v FROM t").collect()) == ["c", "d", "e", "f"]
+    assert [r.v for r in e.sql("DELETE FROM t USING s WHERE t.k = s.k ORDER BY s.w LIMIT 1 RETURNING v").collect()] == ["c"]
+    assert e.execute("DELETE FROM t USING s WHERE t.k < s.w") == 2
+    assert [r.v for r in e.sql("SELECT v FROM t").collect()] == ["f"]
+
+
 @pytest.mark.parametrize("ties", [None, ["v"]])
 def test_percent_has_no_top_k(spark, ties):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("v")).repartition(5)
